@@ -20,7 +20,6 @@ import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import chunks, utf8
 from .pretokens import CachedEncoder, Vocabulary
@@ -78,82 +77,89 @@ class SegmentTreeBpe:
             after[at] = after[gone]
             if after[at] < n:
                 before[after[at]] = at
-            put(gone, none)
+            if gone < n - 1:
+                put(gone, none)
             renew(at)
             if before[at] >= 0:
                 renew(before[at])
         return [i for i in ids if i >= 0]
 
-    def many(self, words: list[bytes], width: int) -> list[np.ndarray]:
-        """Words of 2 to width bytes, width a power of two: their trees side by side."""
-        n = len(words)
-        size = np.fromiter(map(len, words), np.int64, n)
+    def many(self, raw: np.ndarray, size: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Words of 2 to width bytes, width a power of two, given one after the other: their trees side by side.
+
+        Returns all ids and the number of ids of each word. Arrays are flat: row * stride + place.
+        """
+        n, step, none = len(size), width + 1, self.none * width
         place = np.arange(width)
         there = place < size[:, None]
-        ids = np.zeros((n, width + 1), np.int64)
-        ids[:, :width][there] = self.vocabulary.byte_ids[np.frombuffer(b"".join(words), np.uint8)]
-        none = self.none * width
+        ids = np.zeros((n, step), np.int64)
+        ids[:, :width][there] = self.vocabulary.byte_ids[raw]
         tree = np.full((n, 2 * width), none, np.int64)
         pair = there[:, 1:]
         rank = self.pair_ranks(ids[:, : width - 1][pair], ids[:, 1:width][pair])
         tree[:, width : 2 * width - 1][pair] = np.where(rank < self.none, rank * width + np.broadcast_to(place[:-1], pair.shape)[pair], none)
         level = width
         while level > 1:
-            tree[:, level // 2 : level] = np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2])
+            np.minimum(tree[:, level : 2 * level : 2], tree[:, level + 1 : 2 * level : 2], out=tree[:, level // 2 : level])
             level //= 2
-        after = np.broadcast_to(place + 1, (n, width)).copy()
-        before = np.broadcast_to(np.arange(-1, width), (n, width + 1)).copy()
-        there = there.copy()
-
-        def put(row: np.ndarray, leaf: np.ndarray, value) -> None:
-            k = width + leaf
-            tree[row, k] = value
-            while k[0] > 1:  # all leaves are at one depth
-                k = k >> 1
-                tree[row, k] = np.minimum(tree[row, 2 * k], tree[row, 2 * k + 1])
-
-        def renew(row: np.ndarray, leaf: np.ndarray) -> None:
-            right = after[row, leaf]
-            rank = self.pair_ranks(ids[row, leaf], ids[row, right])
-            put(row, leaf, np.where((right < size[row]) & (rank < self.none), rank * width + leaf, none))
-
-        row = np.flatnonzero(tree[:, 1] < none)
+        after = np.tile(np.arange(1, step + 1), (n, 1)).ravel()
+        before = np.tile(np.arange(-1, width), (n, 1)).ravel()
+        roots, tree, ids = tree[:, 1], tree.ravel(), ids.ravel()
+        alive = there.ravel().copy()
+        row = np.flatnonzero(roots < none)
         while len(row):
-            rank, at = np.divmod(tree[row, 1], width)
-            gone = after[row, at]
-            ids[row, at] = self.merged[rank]
-            there[row, gone] = False
-            next_ = after[row, gone]
-            after[row, at] = next_
-            before[row, next_] = at  # column width takes what has no successor
-            put(row, gone, none)
-            renew(row, at)
-            left = before[row, at]
-            has = np.flatnonzero(left >= 0)
-            if len(has):
-                renew(row[has], left[has])
-            row = row[tree[row, 1] < none]
-        flat = ids[:, :width][there].astype("<u4")
-        edges = np.concatenate([[0], np.cumsum(there.sum(axis=1))])
-        return [flat[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+            rank, at = np.divmod(roots[row], width)
+            base = row * step
+            gone = after[base + at]
+            next_ = after[base + gone]
+            merged = self.merged[rank]
+            ids[base + at] = merged
+            alive[row * width + gone] = False
+            after[base + at] = next_
+            before[base + next_] = at  # the last column takes what has no successor
+            left = before[base + at]
+            leaf = [row * 2 * width + width + gone]
+            value = [np.full(len(row), none)]
+            # The pair that begins here, then the pair that ends here.
+            here, there_ = next_ < size[row], left >= 0
+            a, b = np.flatnonzero(here), np.flatnonzero(there_)
+            ranks = self.pair_ranks(np.concatenate([merged[a], ids[base[b] + left[b]]]), np.concatenate([ids[base[a] + next_[a]], merged[b]]))
+            own = np.full(len(row), none)
+            own[a] = np.where(ranks[: len(a)] < self.none, ranks[: len(a)] * width + at[a], none)
+            leaf += [row * 2 * width + width + at, row[b] * 2 * width + width + left[b]]
+            value += [own, np.where(ranks[len(a) :] < self.none, ranks[len(a) :] * width + left[b], none)]
+            leaf, value = np.concatenate(leaf), np.concatenate(value)
+            tree[leaf] = value
+            top = np.concatenate([row, row, row[b]]) * 2 * width
+            k = leaf - top
+            for _ in range(width.bit_length() - 1):  # the paths to the root, all as long as one another
+                k >>= 1
+                low = top + 2 * k
+                tree[top + k] = np.minimum(tree[low], tree[low + 1])
+            row = row[roots[row] < none]
+        kept = alive.reshape(n, width)
+        return ids.reshape(n, step)[:, :width][kept].astype("<u4"), kept.sum(axis=1)
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, as little-endian unsigned 32-bit integers."""
-        out: list[bytes] = [b""] * len(words)
-        classes: dict[int, list[tuple[int, bytes]]] = {}
-        for k, w in enumerate(words):
-            raw = w.encode()
-            if len(raw) == 1:
-                out[k] = self.vocabulary.byte_ids[raw[0]].astype("<u4").tobytes()
-            elif len(raw) > SIDE_BY_SIDE:
-                out[k] = np.array(self.one(raw), "<u4").tobytes()
-            elif raw:
-                classes.setdefault(max(4, 1 << (len(raw) - 1).bit_length()), []).append((k, raw))
-        for width, members in classes.items():
+        raws = [w.encode() for w in words]
+        size = np.fromiter(map(len, raws), np.int64, len(raws))
+        out: list[bytes] = [b""] * len(raws)
+        for k in np.flatnonzero(size > SIDE_BY_SIDE).tolist():
+            out[k] = np.array(self.one(raws[k]), "<u4").tobytes()
+        single = self.vocabulary.byte_ids.astype("<u4")
+        for k in np.flatnonzero(size == 1).tolist():
+            out[k] = single[raws[k][0]].tobytes()
+        low, width = 1, 4
+        while width <= SIDE_BY_SIDE:
+            members = np.flatnonzero((size > low) & (size <= width))
             for at in range(0, len(members), 8192):
                 part = members[at : at + 8192]
-                for (k, _), ids in zip(part, self.many([raw for _, raw in part], width), strict=True):
-                    out[k] = ids.tobytes()
+                flat, counts = self.many(np.frombuffer(b"".join([raws[k] for k in part.tolist()]), np.uint8), size[part], width)
+                packed, edge = flat.tobytes(), np.concatenate([[0], np.cumsum(counts * 4)]).tolist()
+                for k, a, b in zip(part.tolist(), edge, edge[1:], strict=False):
+                    out[k] = packed[a:b]
+            low, width = width, width * 2
         return out
 
 
@@ -170,30 +176,41 @@ def id_lists(encoded: list[bytes]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(encoded), "<i4")))
 
 
+def texts_of(lists: pa.Array, table: list[bytes]) -> pa.Array:
+    """Decoded text of each list of ids."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False).tolist()
+    edge = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))]).tolist()
+    return pa.array([b"".join(map(table.__getitem__, flat[a:b])).decode("utf-8", "replace") for a, b in zip(edge, edge[1:], strict=False)], pa.string())
+
+
+def _encoded(batches, path: str):
+    for batch in batches:
+        _, offsets = utf8(batch.column("text"))
+        texts = batch.column("text").fill_null("")
+        for a, b in chunks(offsets):
+            out = encoder(path).encode(texts.slice(a, b - a).to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), id_lists(out)], ["doc_id", "ids"])
+
+
+def _decoded(batches, path: str):
+    for batch in batches:
+        text = texts_of(batch.column("ids"), encoder(path).vocabulary.bytes)
+        yield pa.RecordBatch.from_arrays([*batch.columns, text], [*batch.schema.names, "text"])
+
+
 def encode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
     """doc_id, ids array<int> of every whole text."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(lambda batches: _encoded(batches, vocabulary_path), "doc_id long, ids array<int>")
 
-    def run(batches):
-        for batch in batches:
-            _, offsets = utf8(batch.column("text"))
-            texts = batch.column("text").fill_null("")
-            for a, b in chunks(offsets):
-                out = encoder(vocabulary_path).encode(texts.slice(a, b - a).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), id_lists(out)], ["doc_id", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, ids array<int>")
+def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
+    """doc_id, ids and text: the ids' bytes as UTF-8."""
+    encoded = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<int>").alias("ids"))
+    return encoded.mapInArrow(lambda batches: _decoded(batches, vocabulary_path), "doc_id long, ids array<int>, text string")
 
 
-def decode(encoded: DataFrame, vocabulary_path: str) -> DataFrame:
-    """encoded with a column text: the ids' bytes as UTF-8."""
-    names = encoded.columns
-
-    def run(batches):
-        table = encoder(vocabulary_path).vocabulary.bytes
-        for batch in batches:
-            lists = batch.column("ids")
-            flat, offsets = lists.flatten().to_pylist(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False))])
-            text = [b"".join(map(table.__getitem__, flat[a:b])).decode("utf-8", "replace") for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(text, pa.string())], [*names, "text"])
-
-    return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField("text", StringType())]))
+def encode_decode(docs: DataFrame, vocabulary_path: str) -> DataFrame:
+    """decode(encode(docs)) in one pass of one Python worker."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(lambda batches: _decoded(_encoded(batches, vocabulary_path), vocabulary_path), "doc_id long, ids array<int>, text string")

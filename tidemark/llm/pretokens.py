@@ -14,8 +14,8 @@ from tokenizers.pre_tokenizers import ByteLevel
 #: The split pattern and the two ranges of bytes that stand for themselves, of public byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PRINTABLE = ((33, 126), (161, 172), (174, 255))
-#: Distinct pre-tokens held by a worker; it starts afresh beyond that.
-CACHE = 400_000
+#: Distinct pre-tokens and distinct pieces that a worker holds; it starts afresh beyond that.
+CACHE, PIECES = 600_000, 300_000
 
 
 def byte_chars() -> dict[str, int]:
@@ -75,35 +75,71 @@ class Vocabulary:
 
 
 class CachedEncoder:
-    """text -> ids, with the ids of each distinct pre-token made once by encode_words."""
+    """text -> ids, with the ids of each distinct pre-token made once by encode_words.
+
+    A space that a character other than white space follows always begins a pre-token, whatever stands before it, and the
+    pattern never looks back; so a text whose spaces are all of that kind is the sum of its space-separated pieces, which
+    are looked up whole.
+    """
 
     def __init__(self, vocabulary: Vocabulary, encode_words):
         self.vocabulary, self.encode_words = vocabulary, encode_words
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # of pre-tokens
+        self.pieces: dict[str, bytes] = {}  # of pieces that follow a space
         self.split = splitter()
         self.added = {t: np.array([i], "<u4").tobytes() for t, i in vocabulary.added.items()}
+        self.uneven = re.compile(r" (?:\s|\Z)").search
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
-        special = self.vocabulary.special
-        pieces: list[list[str]] = []
-        for text in texts:
-            if special is not None and special.search(text):
-                tokens: list = []
-                for k, part in enumerate(special.split(text)):
-                    tokens += [("", part)] if k % 2 else self.split(part)
-                pieces.append(tokens)
-            else:
-                pieces.append(self.split(text))
-        seen: set = set()
-        for p in pieces:
-            seen.update(p)
-        new = seen.difference(self.cache)
+    def _learn(self, words: set[str]) -> None:
+        """Puts the ids of all words in the cache."""
+        new = words.difference(self.cache)
         if new:
             if len(self.cache) + len(new) > CACHE:
-                self.cache, new = {}, seen
-            words = [w for w in new if isinstance(w, str)]
-            self.cache.update(zip(words, self.encode_words(words), strict=True))
-            self.cache.update({w: self.added[w[1]] for w in new if not isinstance(w, str)})
+                self.cache, new = {}, words
+            new = list(new)
+            self.cache.update(zip(new, self.encode_words(new), strict=True))
+
+    def _learn_pieces(self, seen: set[str]) -> None:
+        new = seen.difference(self.pieces)
+        if new:
+            if len(self.pieces) + len(new) > PIECES:
+                self.pieces, new = {}, seen
+            new = list(new)
+            cut = self._cut([" " + p for p in new])
+            self.pieces.update(zip(new, cut, strict=True))
+
+    def _cut(self, texts: list[str]) -> list[bytes]:
+        tokens = list(map(self.split, texts))
+        words: set[str] = set()
+        words.update(*tokens)
+        self._learn(words)
         get = self.cache.__getitem__
-        return [b"".join(map(get, p)) for p in pieces]
+        return [b"".join(map(get, t)) for t in tokens]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Texts without added tokens."""
+        out: list[bytes] = [b""] * len(texts)
+        even = [k for k, t in enumerate(texts) if t and not self.uneven(t)]
+        rest = [k for k, t in enumerate(texts) if t and self.uneven(t)]
+        parts = [texts[k].split(" ") for k in even]
+        heads = self._cut([p[0] for p in parts])
+        seen: set[str] = set()
+        for p in parts:
+            p[0] = p[-1]
+            seen.update(p)
+        self._learn_pieces(seen)
+        get = self.pieces.__getitem__
+        for k, head, p in zip(even, heads, parts, strict=True):
+            out[k] = head + b"".join(map(get, p[1:]))
+        for k, ids in zip(rest, self._cut([texts[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned 32-bit integers."""
+        special = self.vocabulary.special
+        if special is None:
+            return self._plain(texts)
+        cut = [special.split(t) if any(a in t for a in self.added) else [t] for t in texts]
+        plain = iter(self._plain([p for parts in cut for p in parts[::2]]))
+        return [b"".join(self.added[p] if k % 2 else next(plain) for k, p in enumerate(parts)) for parts in cut]

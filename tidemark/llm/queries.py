@@ -16,10 +16,9 @@ def vocabulary_path() -> str:
 
 
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .bpe import decode, encode
+    from .bpe import encode_decode
 
-    path = vocabulary_path()
-    out = decode(encode(table(spark, sf_dir, "documents"), path), path)
+    out = encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
     digest = lambda c: F.sha2(c.cast("binary"), 256)
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(F.concat_ws(",", F.col("ids").cast("array<string>"))).alias("ids_sha256"), digest(F.col("text")).alias("decoded_sha256"))
 
