@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 from .common import table
 
 
+#: The end-of-document id that the contracts of packing and token files append.
+END_ID = 2
+
+
 def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
@@ -30,6 +34,13 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import pack
+
+    out = pack(table(spark, sf_dir, "documents"), vocabulary_path(), END_ID)
+    return out.select("doc_id", "piece", "start", F.col("length").cast("long").alias("length"), "ids_crc32", "sequence_id", "offset")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
