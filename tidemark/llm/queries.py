@@ -58,6 +58,13 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .token_files import read_tokens, write_tokens
+
+    out = read_tokens(spark, write_tokens(table(spark, sf_dir, "documents"), vocabulary_path(), END_ID))
+    return out.select("doc_id", "start", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op")}
 
