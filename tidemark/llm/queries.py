@@ -19,6 +19,12 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), "embedding", "vec_id % 100 = 0", 10)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bpe import encode_decode
 
@@ -58,6 +64,12 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *[count(r.kind) for r in BASE], F.sha2(said(base).cast("binary"), 256).alias("base_sha256"), said(F.col("spans")).alias("spans"))
 
 
+def op9_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_inner_products
+
+    return top_inner_products(table(spark, sf_dir, "embeddings"), "embedding", "vec_id % 50 = 0", 5)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_files import read_tokens, write_tokens
 
