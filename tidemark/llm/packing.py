@@ -31,7 +31,7 @@ NODES, STEPS = 6000, 4000
 #: Fillings kept at a node, and items in a filling.
 BRANCHES, ITEMS = 8, 4
 #: Pieces numbered by one window group, about.
-BUCKET = 50_000
+BUCKET = 1000
 
 Pattern = tuple[int, tuple[tuple[int, int], ...]]  # (bins, ((length, times in a bin), ...))
 
