@@ -29,7 +29,7 @@ BITS = 20
 #: Ids between checkpoints, and ids after which a block ends with its document.
 LANE, BLOCK = 64, 1 << 18
 #: Bytes of text in a range of doc_ids, about, and most ranges.
-RANGE, MOST_RANGES = 16 << 20, 4096
+RANGE, MOST_RANGES = 16 << 20, 1 << 16
 
 
 # ---------------------------------------------------------------- codes
