@@ -176,8 +176,8 @@ def train(rows: DataFrame) -> Model | None:
     return model
 
 
-def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with lang_pred, score and ambiguous."""
+def predict(docs: DataFrame, model: Model | None, new: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """docs with the predicted language, its score and whether it is ambiguous, in columns of the names given."""
     names = docs.columns
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -196,10 +196,10 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 best, share, unsure = m.decode(m.margins(data, offsets))
                 pred = np.where(known, np.array(m.languages, object)[best], UNDETERMINED)
                 score, doubt = np.where(known, share, 0.0), known & unsure
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(doubt)], [*names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred.tolist(), pa.string()), pa.array(score), pa.array(doubt)], [*names, *new])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(run, f"{fields}, lang_pred string, score double, ambiguous boolean")
+    return docs.mapInArrow(run, f"{fields}, `{new[0]}` string, `{new[1]}` double, `{new[2]}` boolean")
 
 
 def held_out(doc_id):

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, staged, utf8
+from .common import chunks, fmix, ids, staged, utf8
 from .components import components
 
 SEED = 42
@@ -219,3 +219,117 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
     least = member.groupBy("root").agg(F.min("least").alias("component_id"))
     of, _ = staged(member.join(least, "root").select("fp", "component_id"))
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
+
+
+# ---------------------------------------------------------------- wider fingerprints, for similarity rather than a few bits
+
+#: 64-bit words of a wide fingerprint, and the recall to be reached for pairs at the similarity asked for.
+WIDE, RECALL = 8, 0.99
+
+
+def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
+    """key (doc_id, null as NULL_ID) and wide: WIDE * 64 majority bits over the set of the document's shingles."""
+    seeds = np.random.default_rng(3).integers(1, 1 << 63, WIDE, dtype=np.uint64)
+
+    def make(batches):
+        for batch in batches:
+            data, offsets = utf8(batch.column("text"))
+            out = []
+            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
+                hashes = np.unique(np.array(shingle_hashes(data[a:b].tobytes(), words), np.uint64))
+                counts = np.zeros(WIDE * 64, np.int64)
+                for at in range(0, len(hashes), 4096):
+                    many = fmix(hashes[at : at + 4096, None] + seeds)
+                    counts += np.unpackbits(many.view(np.uint8).reshape(len(many), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+                out.append(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(ids(batch.column("doc_id"))), pa.array(out, pa.binary())], ["key", "wide"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "key long, wide binary")
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of docs: key (doc_id, null as NULL_ID), component (smallest key reachable).
+
+    Two documents link where the differing share of their wide fingerprints says that their shingle sets are at least
+    `similarity` alike: for Jaccard similarity s the bits differ with probability acos(2s / (1 + s)) / pi; one standard
+    deviation is allowed. Fingerprints meet in bands, choices of r bits of which r grows with their number and the number of
+    bands so that a pair at the similarity asked for meets with probability RECALL; a band's bucket that is large all
+    the same is dealt out again by more bits. A bucket returns a spanning forest of its links.
+    """
+    fps, _ = staged(wide_fingerprints(docs, words))
+    distinct, _ = staged(fps.groupBy("wide").agg(F.min("key").alias("node")))
+    n = distinct.count()
+    bits = WIDE * 64
+    differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+    most = int(bits * differ + np.sqrt(bits * differ * (1 - differ)))
+    r = int(np.clip(np.ceil(np.log2(max(n, 2))) - 5, 10, 40))
+    bands = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - differ) ** r)))
+    rng = np.random.default_rng(17)
+    chosen = [np.sort(rng.choice(bits, r, replace=False)) for _ in range(bands)]
+    finer = [np.sort(rng.choice(bits, 8, replace=False)) for _ in range(8)]
+
+    def values(wide: np.ndarray, choice: np.ndarray) -> np.ndarray:
+        bit = np.unpackbits(wide, axis=1, bitorder="little")[:, choice].astype(np.int64)
+        return bit @ (1 << np.arange(len(choice), dtype=np.int64))
+
+    def rows_of(batch) -> np.ndarray:
+        data, _ = utf8(batch.column("wide"))
+        return data.reshape(-1, bits // 8)
+
+    def deal(batches):
+        for batch in batches:
+            wide = rows_of(batch)
+            for k, choice in enumerate(chosen):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(wide), k, np.int32)), pa.array(values(wide, choice)), *batch.columns], ["band", "value", *batch.schema.names])
+
+    def deal_again(batches):
+        for batch in batches:
+            wide = rows_of(batch)
+            band, value = batch.column("band").to_numpy(), batch.column("value").to_numpy()
+            for k, choice in enumerate(finer):
+                new = value << 8 | values(wide, choice)
+                yield pa.RecordBatch.from_arrays([pa.array((band + bands * (k + 1)).astype(np.int32)), pa.array(new), *batch.columns[2:]], batch.schema.names)
+
+    schema = "band int, value long, wide binary, node long"
+    dealt = distinct.select("wide", "node").mapInArrow(deal, schema)
+    sizes = dealt.groupBy("band", "value").agg(F.count("*").alias("n"))
+    large, _ = staged(sizes.where(F.col("n") > HOT // 4).select("band", "value"))
+    usual = dealt
+    if not large.isEmpty():
+        usual = dealt.join(large, ["band", "value"], "left_anti").unionByName(dealt.join(large, ["band", "value"], "left_semi").mapInArrow(deal_again, schema))
+
+    def bucket(t: pa.Table) -> pa.Table:
+        wide = rows_of(t).view("<u8")
+        node = t["node"].to_numpy()
+        order = np.argsort(gray_rank(wide[:, 0].astype(np.uint64)), kind="stable")
+        wide, node = wide[order], node[order]
+        a, b = [], []
+        for at in range(0, len(node), 256):
+            apart = np.zeros((min(256, len(node) - at), len(node) - at), np.int64)
+            for w in range(WIDE):  # accumulated word by word
+                apart += np.bitwise_count(wide[at : at + 256, w][:, None] ^ wide[at:, w])
+            i, j = np.nonzero(apart <= most)
+            own = j > i
+            a.append(i[own] + at)
+            b.append(j[own] + at)
+        root = forest(len(node), np.concatenate(a), np.concatenate(b))
+        child = np.flatnonzero(root != np.arange(len(node)))
+        return pa.table({"u": pa.array(node[child]), "v": pa.array(node[root[child]])})
+
+    def join_all(batches):
+        rest = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            if rest is not None:
+                t = pa.concat_tables([rest, t])
+            band, value = t["band"].to_numpy(), t["value"].to_numpy()
+            heads = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (value[1:] != value[:-1])))
+            rest = t.slice(int(heads[-1]))
+            yield from _buckets(t, heads, bucket)
+        if rest is not None and rest.num_rows > 1:
+            yield from bucket(rest).to_batches()
+
+    edges = usual.repartition("band", "value").sortWithinPartitions("band", "value").mapInArrow(join_all, "u long, v long")
+    found = components(edges.distinct())
+    member = distinct.join(found.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("wide", F.coalesce("component", "node").alias("component"))
+    return fps.join(member, "wide").select("key", "component")

@@ -109,18 +109,20 @@ def owners(docs: DataFrame, repeated, window: int, shards: int) -> DataFrame:
     return owned.groupBy("bucket").applyInArrow(gather, "owner long, at binary")
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """One row per row of docs: doc_id, kept_text (kept words joined by one space), n_words, n_removed."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, kept_text (kept words joined by one space), n_words, n_removed; with carry, also
+    row: a struct of all columns of docs as they were."""
+    row = F.struct(*docs.columns) if carry else F.lit(None).cast("struct<x:int>")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
     size = text_bytes(docs)
 
     def keys(batches):
         for words, _, _ in _runs(batches, False):
             yield words.windows(window, POLY[0])[1]
 
-    repeated = sketch.merged(docs, keys, sketch.width(size // 6))
-    owned = owners(docs, repeated, window, shard_count(size))
-    joined = docs.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(owned, F.col("key") == F.col("owner"), "left").select("doc_id", "text", "at")
+    repeated = sketch.merged(docs.select("doc_id", "text"), keys, sketch.width(size // 6))
+    owned = owners(docs.select("doc_id", "text"), repeated, window, shard_count(size))
+    joined = docs.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(owned, F.col("key") == F.col("owner"), "left").select("doc_id", "text", "at", "row")
 
     def cut(batches):
         for batch in batches:
@@ -150,6 +152,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     else:
                         stay = np.flatnonzero(~covered[lo:hi]) + lo
                         kept.append(b" ".join([text[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, docs_here), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(np.diff(words.begin)), pa.array(lost)], ["doc_id", "kept_text", "n_words", "n_removed"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, docs_here), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(np.diff(words.begin)), pa.array(lost), batch.column("row").slice(a, docs_here)], ["doc_id", "kept_text", "n_words", "n_removed", "row"])
 
-    return joined.mapInArrow(cut, "doc_id long, kept_text string, n_words long, n_removed long")
+    kind = docs.schema["row"].dataType.simpleString()
+    out = joined.mapInArrow(cut, f"doc_id long, kept_text string, n_words long, n_removed long, row {kind}")
+    return out if carry else out.drop("row")
