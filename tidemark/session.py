@@ -10,8 +10,15 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 
+#: Rows and bytes of an Arrow batch. Spark's defaults (10,000 rows, 64 MB) are too much for whole documents: a batch is held
+#: several times over, on both sides of the pipe.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
 def ship_package(spark: SparkSession) -> None:
-    """Sends this package to the executors once a session, so that Arrow functions can import it there."""
+    """Sends this package to the executors once a session, so that Arrow functions can import it there, and bounds batches."""
+    for key, value in BATCH.items():
+        spark.conf.set(key, value)
     if getattr(spark.sparkContext, "_tidemark_shipped", False):
         return
     root = Path(__file__).resolve().parent
