@@ -42,7 +42,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     """Takes passages that stand earlier too out of text; a text that loses nothing stays as it was."""
     ship_package(spark)
     out = substring_dedup.remove_repeats(docs, carry=True)
-    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("row.text"))
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     return _with_text(out.select(*[text.alias(c) if c == "text" else F.col(f"row.{c}").alias(c) for c in docs.columns]), docs.columns)
 
 

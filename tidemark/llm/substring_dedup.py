@@ -111,8 +111,9 @@ def owners(docs: DataFrame, repeated, window: int, shards: int) -> DataFrame:
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, kept_text (kept words joined by one space), n_words, n_removed; with carry, also
-    row: a struct of all columns of docs as they were."""
-    row = F.struct(*docs.columns) if carry else F.lit(None).cast("struct<x:int>")
+    text and row: text and a struct of the other columns of docs as they were."""
+    others = [c for c in docs.columns if c != "text"]
+    row = F.struct(*others) if carry else F.lit(None).cast("struct<x:int>")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
     size = text_bytes(docs)
 
@@ -124,6 +125,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: bool = False) -
     owned = owners(docs.select("doc_id", "text"), repeated, window, shard_count(size))
     joined = docs.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(owned, F.col("key") == F.col("owner"), "left").select("doc_id", "text", "at", "row")
 
+    back = ["text", "row"] if carry else []
+
     def cut(batches):
         for batch in batches:
             owner_data, owner_offsets = utf8(batch.column("at"))
@@ -152,8 +155,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: bool = False) -
                     else:
                         stay = np.flatnonzero(~covered[lo:hi]) + lo
                         kept.append(b" ".join([text[s:e] for s, e in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)]))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, docs_here), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(np.diff(words.begin)), pa.array(lost), batch.column("row").slice(a, docs_here)], ["doc_id", "kept_text", "n_words", "n_removed", "row"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, docs_here), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(np.diff(words.begin)), pa.array(lost), *[batch.column(c).slice(a, docs_here) for c in back]], ["doc_id", "kept_text", "n_words", "n_removed", *back])
 
     kind = docs.schema["row"].dataType.simpleString()
-    out = joined.mapInArrow(cut, f"doc_id long, kept_text string, n_words long, n_removed long, row {kind}")
-    return out if carry else out.drop("row")
+    return joined.mapInArrow(cut, "doc_id long, kept_text string, n_words long, n_removed long" + (f", text string, row {kind}" if carry else ""))
