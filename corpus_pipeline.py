@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, packing, secrets, simhash, substring_dedup
-from tidemark.llm.common import NULL_ID, staged, table
+from tidemark.llm.common import NULL_ID, drop_stage, stage_paths, staged, table
 from tidemark.llm.queries import END_ID, vocabulary_path
 from tidemark.session import ship_package
 
@@ -33,7 +33,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id of each group of copies and near copies (five words, similarity 0.8)."""
     ship_package(spark)
-    stay, _ = staged(simhash.similar_documents(docs).groupBy("component").agg(F.min("key").alias("__key")).select("__key"))
+    before = stage_paths()
+    stay, path = staged(simhash.similar_documents(docs).groupBy("component").agg(F.min("key").alias("__key")).select("__key"))
+    for old in stage_paths() - before - {path}:
+        drop_stage(spark, old)
     kept = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(stay, "__key", "left_semi")
     return kept.dropDuplicates(["__key"]).select(*docs.columns)
 

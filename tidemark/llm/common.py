@@ -72,6 +72,10 @@ def drop_stage(spark: SparkSession, path: str) -> None:
     _STAGES[:] = [x for x in _STAGES if x[1] != path]
 
 
+def stage_paths() -> set[str]:
+    return {p for _, p in _STAGES}
+
+
 def text_bytes(docs: DataFrame) -> int:
     """UTF-8 bytes of all texts: one column-pruned JVM scan, used to size sketches and shard counts."""
     return int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)

@@ -262,7 +262,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     bits = WIDE * 64
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
     most = int(bits * differ + np.sqrt(bits * differ * (1 - differ)))
-    r = int(np.clip(np.ceil(np.log2(max(n, 2))) - 5, 10, 40))
+    r = int(np.clip(np.ceil(np.log2(max(n, 2))) - 7, 11, 40))
     bands = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - differ) ** r)))
     rng = np.random.default_rng(17)
     chosen = [np.sort(rng.choice(bits, r, replace=False)) for _ in range(bands)]
@@ -305,13 +305,14 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         wide, node = wide[order], node[order]
         a, b = [], []
         for at in range(0, len(node), 256):
-            apart = np.zeros((min(256, len(node) - at), len(node) - at), np.int64)
-            for w in range(WIDE):  # accumulated word by word
+            apart = np.zeros((min(256, len(node) - at), len(node) - at), np.uint16)
+            for w in range(WIDE // 2):  # accumulated word by word; half of them rule out what is unlike
                 apart += np.bitwise_count(wide[at : at + 256, w][:, None] ^ wide[at:, w])
             i, j = np.nonzero(apart <= most)
-            own = j > i
-            a.append(i[own] + at)
-            b.append(j[own] + at)
+            i, j = i[j > i] + at, j[j > i] + at
+            near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= most
+            a.append(i[near])
+            b.append(j[near])
         root = forest(len(node), np.concatenate(a), np.concatenate(b))
         child = np.flatnonzero(root != np.arange(len(node)))
         return pa.table({"u": pa.array(node[child]), "v": pa.array(node[root[child]])})

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import NULL_ID, POLY, chunks, fmix, ids, shard_count, staged, text_bytes, utf8
+from .common import NULL_ID, POLY, chunks, drop_stage, fmix, ids, shard_count, staged, text_bytes, utf8
 
 MATCH = 400
 #: Positions of which a string's anchor is chosen: places that an anchor can have in a string.
@@ -171,9 +171,9 @@ def _place_key(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
     return fmix(fmix(doc.astype(np.uint64)) + at.astype(np.uint64))
 
 
-def repeated(docs: DataFrame, entries: Callable, shards: int) -> DataFrame:
+def repeated(docs: DataFrame, entries: Callable, shards: int) -> tuple[DataFrame, str]:
     """All (doc, at) whose digest occurs at another (doc, at) too, packed by bucket of doc (kind 1); and, as kind 2, for each
-    digest its first place. entries(batches) yields (key, tag, doc, at) arrays."""
+    digest its first place. entries(batches) yields (key, tag, doc, at) arrays. Also the stage table that this reads."""
 
     def send(batches):
         held: list[tuple] = []
@@ -216,9 +216,9 @@ def repeated(docs: DataFrame, entries: Callable, shards: int) -> DataFrame:
         parts = [pa.array([*p.to_pylist(), c[first].tobytes()], pa.binary()) for p, c in zip(packed, (doc, at), strict=True)]
         return pa.table([kind, buckets, *parts], ["kind", "bucket", "doc", "at"])
 
-    sent, _ = staged(docs.mapInArrow(send, _SENT))
+    sent, path = staged(docs.mapInArrow(send, _SENT))
     indexed = sent.where("kind = 0").select("shard", "key", "tag", "doc", "at", "twice").groupBy("shard").applyInArrow(index, _MARKED)
-    return indexed.unionByName(sent.where("kind = 1").select("kind", F.col("shard").alias("bucket"), "doc", "at"))
+    return indexed.unionByName(sent.where("kind = 1").select("kind", F.col("shard").alias("bucket"), "doc", "at")), path
 
 
 def marks(docs: DataFrame, match: int) -> tuple[DataFrame, object]:
@@ -242,7 +242,9 @@ def marks(docs: DataFrame, match: int) -> tuple[DataFrame, object]:
                 tag = (a.digest(1, start, end) >> np.uint64(32)).astype(np.uint32)
                 yield a.digest(0, start, end), tag, docs_[doc], (a.at[keep] - a.offsets[doc]).astype(np.int32)
 
-    whole, _ = staged(repeated(docs, context_entries, shards))
+    settled, path = repeated(docs, context_entries, shards)
+    whole, _ = staged(settled)
+    drop_stage(docs.sparkSession, path)
 
     def requested(batches):
         for batch in batches:
@@ -276,7 +278,7 @@ def marks(docs: DataFrame, match: int) -> tuple[DataFrame, object]:
             tag = (a.digest(1, start, start + match) >> np.uint64(32)).astype(np.uint32)
             yield key, tag, docs_[doc], (start - a.offsets[doc]).astype(np.int32)
 
-    part = repeated(docs, string_entries, shards)
+    part, _ = repeated(docs, string_entries, shards)
 
     def gather(group: pa.Table) -> pa.Table:
         which = np.repeat(group["of"].to_numpy(), [len(x) // 4 for x in group["at"].to_pylist()])
