@@ -1,11 +1,15 @@
-"""All queries of the replication engine, by module."""
+"""All queries of the replication engine."""
 
 from __future__ import annotations
 
+from .plans.queries import ORACLES, QUERIES, flagship
+
+__all__ = ["flagship", "oracle_sql", "queries"]
+
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(ORACLES)
