@@ -159,7 +159,7 @@ def _packed(groups: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray,
     order = np.argsort(groups, kind="stable")
     groups, columns = groups[order], [c[order] for c in columns]
     heads = np.flatnonzero(np.append(True, groups[1:] != groups[:-1])) if len(groups) else np.zeros(0, np.int64)
-    ends = np.append(heads[1:], len(groups))
+    ends = np.append(heads[1:], len(groups)) if len(groups) else heads
     return groups[heads], [pa.array([c[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary()) for c in columns]
 
 
