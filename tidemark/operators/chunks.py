@@ -28,10 +28,12 @@ def int_range(df: DataFrame, key: str, target: int) -> DataFrame:
     """n = min(target, span) intervals; end i = min + floor(span * (i + 1) / n) - 1, in decimals so that the whole long range fits."""
     span = (F.col("hi").cast("decimal(20,0)") - F.col("lo").cast("decimal(20,0)") + 1).cast("decimal(20,0)")
     plan = df.agg(F.min(key).alias("lo"), F.max(key).alias("hi")).where("lo is not null").withColumn("span", span)
-    plan = plan.withColumn("n", F.least(F.lit(target).cast("long"), F.col("span").cast("long"))).withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
-    plan = plan.withColumn("end", F.expr("cast(lo as decimal(38,0)) + ((cast(span as decimal(27,0)) * cast(i + 1 as decimal(10,0))) div cast(n as decimal(10,0))) - 1").cast("long"))
+    plan = plan.withColumn("n", F.least(F.lit(target).cast("decimal(20,0)"), F.col("span")).cast("long")).withColumn("i", F.explode(F.expr("sequence(0L, n - 1)")))
+    # span * (i + 1) / n = q * (i + 1) + rest * (i + 1) / n with span = q * n + rest: neither part leaves its type.
+    plan = plan.withColumn("q", F.expr("cast(floor(span / cast(n as decimal(10,0))) as decimal(21,0))")).withColumn("rest", F.expr("cast(span - q * cast(n as decimal(10,0)) as bigint)"))
+    plan = plan.withColumn("end", F.expr("if(i < n - 1, cast(cast(lo as decimal(21,0)) + q * cast(i + 1 as decimal(10,0)) + cast((rest * (i + 1)) div n as decimal(20,0)) - 1 as bigint), cast(null as bigint))"))
     own = Window.orderBy("i")
-    return plan.select(F.col("i").alias("chunk_id"), F.lag("end").over(own).alias("start_key"), F.when(F.col("i") < F.col("n") - 1, F.col("end")).alias("end_key"))
+    return plan.select(F.col("i").alias("chunk_id"), F.lag("end").over(own).alias("start_key"), F.col("end").alias("end_key"))
 
 
 def equal_split(df: DataFrame, key: str, n: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import batching, catalog, changelog, chunks, eventlog, keyset, replay, report, tasks
 from ..sources.tables import change_log, drifted_target, range_scan, table
+from ..streaming import apply
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -491,6 +492,11 @@ def drift_detect(spark, d):
     return replay.drift(orders, drifted_target(orders), "o_orderkey", "o_totalprice")
 
 
+@query(_KEYED.format(ops=_OPS))
+def stream_replay(spark, d):
+    return apply.replayed(spark, _log(spark, d))
+
+
 # ---------------------------------------------------------------- sinks
 
 _MESSAGE = """'{"after_key":' || coalesce(cast(CASE WHEN op <> 'DELETE' THEN new_key END AS VARCHAR), 'null') || ',"before_key":' || coalesce(cast(CASE WHEN op <> 'INSERT' THEN old_key END AS VARCHAR), 'null') || ',"event_type":"' || op || '","pos":' || commit_pos || '}'"""
