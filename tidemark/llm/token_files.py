@@ -229,11 +229,13 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     order = Window.partitionBy("range").orderBy("first_doc", "last_doc", "sum").rowsBetween(Window.unboundedPreceding, -1)
     placed = place.select("range", "first_doc", "last_doc", "sum", F.coalesce(F.sum("n_ids").over(order), F.lit(0)).alias("within")).join(F.broadcast(base), "range")
     keys = ["range", "first_doc", "last_doc", "sum"]
-    # Blocks that agree in all keys are copies of one another: each takes its own place.
-    copy = Window.partitionBy(*keys).orderBy("n_ids")
-    placed = placed.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("within")))
-    whole = blocks.withColumn("sum", F.crc32("bits")).withColumn("copy", F.row_number().over(copy))
-    joined = whole.join(placed, [*keys, "copy"]).select((F.col("base") + F.col("within")).alias("start"), "n_ids", "doc_ids", "lengths", "bits", "marks")
+    whole = blocks.withColumn("sum", F.crc32("bits"))
+    if not place.groupBy(*keys).count().where("count > 1").isEmpty():
+        # Blocks that agree in all keys are copies of one another: each takes a place of its own.
+        placed = placed.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("within")))
+        whole = whole.withColumn("copy", F.row_number().over(Window.partitionBy(*keys).orderBy("n_ids")))
+        keys = [*keys, "copy"]
+    joined = whole.join(placed, keys).select((F.col("base") + F.col("within")).alias("start"), "n_ids", "doc_ids", "lengths", "bits", "marks")
 
     def decode(batches):
         decoder = held.value
