@@ -15,6 +15,8 @@ REDACTIONS = (
 SENSITIVE_KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "authorization", "sasl_password")
 RETRYABLE = ("deadlock", "lock wait timeout", "connection reset", "broken pipe", "bad connection", "i/o timeout", "too many connections")
 MASK = "******"
+#: Names of locks and staging tables, and the longest name.
+LOCK_PREFIX, STAGING_PREFIX, LONGEST_NAME = "mts_fl_v2:", "__mts_staging_", 64
 
 
 def quoted(name: Column) -> Column:
@@ -32,14 +34,14 @@ def masked(options: Column) -> Column:
     return F.transform_values(options, lambda k, v: F.when(F.lower(k).isin(*SENSITIVE_KEYS), MASK).otherwise(v))
 
 
-def lock_name(schema: Column, prefix: str = "mts_fl_v2:", most: int = 64) -> Column:
+def lock_name(schema: Column, prefix: str = LOCK_PREFIX, most: int = LONGEST_NAME) -> Column:
     """prefix + schema, or if too long prefix + 27 bytes of its SHA-256 in hex."""
     return F.when(F.length(schema) + len(prefix) <= most, F.concat(F.lit(prefix), schema)).otherwise(F.concat(F.lit(prefix), F.substring(F.sha2(schema.cast("binary"), 256), 1, 54)))
 
 
-def staging_name(table_name: Column, attempt: Column, most: int = 64) -> Column:
-    name = F.concat(F.lit("__mts_staging_"), table_name, F.lit("_"), attempt.cast("string"))
-    return F.when(F.length(name) <= most, name).otherwise(F.concat(F.lit("__mts_staging_"), F.substring(F.sha2(table_name.cast("binary"), 256), 1, 24), F.lit("_"), attempt.cast("string")))
+def staging_name(table_name: Column, attempt: Column, most: int = LONGEST_NAME) -> Column:
+    name = F.concat(F.lit(STAGING_PREFIX), table_name, F.lit("_"), attempt.cast("string"))
+    return F.when(F.length(name) <= most, name).otherwise(F.concat(F.lit(STAGING_PREFIX), F.substring(F.sha2(table_name.cast("binary"), 256), 1, 24), F.lit("_"), attempt.cast("string")))
 
 
 def retryable(message: Column) -> Column:
