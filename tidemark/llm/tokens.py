@@ -7,7 +7,6 @@ two libraries' classes may differ), go through the tokenizers library itself, as
 
 from __future__ import annotations
 
-import re
 import unicodedata
 from functools import lru_cache
 
@@ -19,11 +18,6 @@ from tokenizers import Tokenizer
 from .pretokens import PATTERN, Vocabulary
 
 
-def _ranges(codes: np.ndarray) -> str:
-    runs = np.split(codes, np.flatnonzero(np.diff(codes) > 1) + 1) if len(codes) else []
-    return "".join(f"{chr(r[0])}-{chr(r[-1])}" for r in runs)
-
-
 class Ids:
     def __init__(self, path: str):
         self.slow = Tokenizer.from_file(path)
@@ -37,8 +31,11 @@ class Ids:
             ranks = {b: i for i, b in enumerate(v.bytes) if i not in set(v.added.values())}
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
-        new = np.array([ord(c) for c in regex.findall(r"[\p{L}\p{N}\s]", every) if unicodedata.category(c) == "Cn"])
-        self.unsure = re.compile(f"[{_ranges(new)}]").search if len(new) else lambda text: None
+        self.new = np.zeros(0x110000, bool)
+        self.new[[ord(c) for c in regex.findall(r"[\p{L}\p{N}\s]", every) if unicodedata.category(c) == "Cn"]] = True
+
+    def unsure(self, text: str) -> bool:
+        return bool(self.new[np.frombuffer(text.encode("utf-32-le"), "<u4")].any())
 
     def __call__(self, text: str) -> np.ndarray:
         """Unsigned 32-bit ids."""
