@@ -61,3 +61,18 @@ def duration(seconds: Column) -> Column:
     h, m, s = F.floor(seconds / 3600).cast("long"), F.floor(seconds % 3600 / 60).cast("long"), (seconds % 60).cast("long")
     text = lambda n, unit: F.concat(n.cast("string"), F.lit(unit))
     return F.when(h > 0, F.concat(text(h, "h"), text(m, "m"), text(s, "s"))).when(m > 0, F.concat(text(m, "m"), text(s, "s"))).otherwise(text(s, "s"))
+
+
+def _key(key: str) -> Column:
+    """32 bytes: cut or padded with zeros."""
+    return F.lit(bytearray(key.encode()[:32].ljust(32, b"\0")))
+
+
+def sealed(value: Column, key: str) -> Column:
+    """AES-256-GCM: a mark, then nonce, cipher text and tag in Base64."""
+    return F.concat(F.lit("ENC~"), F.regexp_replace(F.base64(F.aes_encrypt(value.cast("binary"), _key(key), F.lit("GCM"))), r"[\r\n]", ""))
+
+
+def opened(value: Column, key: str) -> Column:
+    """What was sealed; text without the mark as it is."""
+    return F.when(value.startswith("ENC~"), F.aes_decrypt(F.unbase64(F.substr(value, F.lit(5))), _key(key), F.lit("GCM")).cast("string")).otherwise(value)
