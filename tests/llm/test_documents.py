@@ -255,6 +255,18 @@ def test_packing_is_optimal_on_small_inputs(seed):
     assert bound <= sum(n for n, _ in patterns) == best(sizes, 30)
 
 
+def test_packing_of_many_short_pieces():
+    r = np.random.default_rng(1)
+    for sizes, most in ((np.full(1000, 100), 100), (r.integers(20, 61, 5000), 196), (r.integers(3, 205, 2000), 205)):
+        counts, used = np.bincount(sizes, minlength=1025), np.zeros(1025, int)
+        patterns, bound = packing.pack_counts(counts, 1024)
+        for n, items in patterns:
+            assert sum(length * times for length, times in items) <= 1024
+            for length, times in items:
+                used[length] += n * times
+        assert used.tolist() == counts.tolist() and bound <= sum(n for n, _ in patterns) <= most
+
+
 def test_token_files(docs, none, spark, tmp_path):
     t, at, want = Tokenizer.from_file(PATH), 0, []
     for i, s in sorted(texts(), key=lambda x: (x[0], 0)):

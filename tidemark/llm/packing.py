@@ -1,10 +1,10 @@
 """Packing of documents into sequences of a fixed capacity, by bin completion with branch and bound.
 
 What a packing costs depends on how many pieces there are of each length, not on which they are, so the search runs on a
-histogram of at most `capacity` numbers, whatever the size of the corpus. A node takes the largest length left, enumerates
-the fillings of the rest of its bin that no other filling dominates, fullest first, and applies one as often as the counts
-allow. The first descent is the best-fit solution and the first incumbent; a branch is dropped as soon as the bins used,
-with the waste bound on what is left, cannot beat the incumbent; the search ends at a proven optimum or after NODES nodes.
+histogram of at most `capacity` numbers, whatever the size of the corpus. The first incumbent is best fit decreasing. A node
+takes the largest length left, enumerates the fillings of the rest of its bin that no other filling dominates, of any number
+of items, fullest first, and applies one as often as the counts allow; a branch is dropped as soon as the bins used, with
+the least that is left needs, cannot beat the incumbent; the search ends at the waste bound or after NODES nodes.
 The answer is a list of patterns with multiplicities. Pieces are then numbered within their length, bucket by bucket, and
 each number is looked up in the patterns: no task sees all pieces of a length.
 
@@ -16,6 +16,7 @@ empty table gives an empty result.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,10 +27,10 @@ from .common import chunks, staged, utf8
 from .tokens import ids_of
 
 CAPACITY = 1024
-#: Nodes of the search, and steps of one enumeration of fillings, after which the incumbent or what is found stands.
+#: Nodes of the search, and fillings looked at in one node, after which the incumbent or what is found stands.
 NODES, STEPS = 6000, 4000
-#: Fillings kept at a node, and items in a filling.
-BRANCHES, ITEMS = 8, 4
+#: Fillings tried at a node.
+BRANCHES = 8
 #: Pieces numbered by one window group, about.
 BUCKET = 1000
 
@@ -64,47 +65,72 @@ def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
     return True
 
 
-def fillings(counts: np.ndarray, room: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of room with the items left, fullest first; items descending."""
-    there = np.flatnonzero(counts[: room + 1])
-    there = there[there > 0][::-1].tolist()
-    steps = 0
-
-    def exact(target: int, most: int, items: int):
-        nonlocal steps
-        if target <= most and counts[target] > 0:
-            yield (target,)
-        if items < 2:
-            return
-        for a in there:
-            if a > most or a >= target:
-                continue
-            if a * items < target or steps > STEPS:
-                return
-            steps += 1
-            for rest in exact(target - a, a, items - 1):
-                yield (a, *rest)
+def fillings(counts: np.ndarray, room: int) -> Iterator[tuple[int, ...]]:
+    """Undominated fillings of room with the items left, of any number of items, fullest first; items descending."""
+    there = [a for a in np.flatnonzero(counts[: room + 1]).tolist() if a]
+    number = [min(int(counts[a]), room // a) for a in there]
+    mask = (1 << (room + 1)) - 1
+    reach = [1]  # bit t of reach[k]: some of the k least lengths add up to t
+    for a, n in zip(there, number, strict=True):
+        bits, k = reach[-1], 1
+        while n:
+            k = min(k, n)
+            bits |= bits << a * k & mask
+            n, k = n - k, 2 * k
+        reach.append(bits)
+
+    def exact(target: int, k: int):
+        if not target:
+            yield ()
+        while target and k and reach[k] >> target & 1:
+            k -= 1
+            for n in range(min(number[k], target // there[k]), 0, -1):
+                if reach[k] >> (target - n * there[k]) & 1:
+                    for rest in exact(target - n * there[k], k):
+                        yield (there[k],) * n + rest
 
     found: list[tuple[int, ...]] = []
+    steps = 0
     for target in range(room, 0, -1):
-        if target < room and steps > STEPS:
-            break
-        for items in range(1, ITEMS + 1):
-            for f in exact(target, target, items):
-                if all(counts[x] >= f.count(x) for x in f) and not any(_dominates(g, f) for g in found):
-                    found = [g for g in found if not _dominates(f, g)] + [f]
-                if len(found) >= BRANCHES:
-                    return found
-            if found and (len(found[0]) == 1 or items >= 2):
-                return found
-    if not found and there:
-        fill, left = [], room  # best fit, where enumeration was cut short
-        for a in there:
-            n = min(int(counts[a]), left // a)
-            fill += [a] * n
-            left -= a * n
-        found = [tuple(fill)]
-    return found or [()]
+        if not reach[-1] >> target & 1:
+            continue
+        for f in exact(target, len(there)):
+            steps += 1
+            if not any(_dominates(g, f) for g in found):
+                found.append(f)
+                yield f
+            if len(found) >= BRANCHES or steps > STEPS:
+                return
+    if not found:
+        yield ()
+
+
+def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[Pattern]:
+    """Every piece, longest first, in the fullest bin that holds it; bins alike are filled together."""
+    rooms: list[list[tuple[int, tuple]]] = [[] for _ in range(capacity + 1)]  # (bins, items) by the room left
+    for a in np.flatnonzero(counts).tolist()[::-1]:
+        left = int(counts[a])
+        for room in range(a, capacity + 1):
+            if not left:
+                break
+            times, stay = room // a, []
+            for bins, items in rooms[room]:
+                n = min(bins, left // times)
+                if n:
+                    rooms[room - times * a].append((n, (*items, (a, times))))
+                    left -= n * times
+                if n < bins and left and left < times:
+                    rooms[room - left * a].append((1, (*items, (a, left))))
+                    n, left = n + 1, 0
+                if n < bins:
+                    stay.append((bins - n, items))
+            rooms[room] = stay
+        times = capacity // a
+        if left // times:
+            rooms[capacity - times * a].append((left // times, ((a, times),)))
+        if left % times:
+            rooms[capacity - left % times * a].append((1, ((a, left % times),)))
+    return [x for room in rooms for x in room]
 
 
 def pack_counts(counts: np.ndarray, capacity: int) -> tuple[list[Pattern], int]:
@@ -114,7 +140,8 @@ def pack_counts(counts: np.ndarray, capacity: int) -> tuple[list[Pattern], int]:
     whole = int(counts[capacity])
     done: list[Pattern] = [(whole, ((capacity, 1),))] if whole else []
     counts[capacity] = 0
-    best: list = [None, 1 << 62]
+    first_fit = best_fit_decreasing(counts, capacity)
+    best: list = [first_fit, whole + sum(n for n, _ in first_fit)]
     # A stack of (depth of path, counts, bins so far, fillings not yet tried); path holds the patterns applied.
     path: list[Pattern] = []
     stack: list = []
@@ -130,13 +157,13 @@ def pack_counts(counts: np.ndarray, capacity: int) -> tuple[list[Pattern], int]:
         first = int(some[-1])
         rest = left.copy()
         rest[first] -= 1
-        stack.append((left, bins, first, iter(fillings(rest, capacity - first))))
+        stack.append((left, bins, first, fillings(rest, capacity - first)))
 
     open_node(counts, whole)
     while stack:
         left, bins, first, more = stack[-1]
         fill = next(more, None)
-        if fill is None or best[1] <= bound or (nodes >= NODES and best[0] is not None):
+        if fill is None or best[1] <= bound or nodes >= NODES:
             stack.pop()
             if path:
                 path.pop()
@@ -151,7 +178,7 @@ def pack_counts(counts: np.ndarray, capacity: int) -> tuple[list[Pattern], int]:
             continue
         path.append((n, tuple(zip(items.tolist(), times.tolist(), strict=True))))
         open_node(after, bins + n)
-    return done + (best[0] or []), bound
+    return done + best[0], bound
 
 
 class Slots:
