@@ -179,6 +179,30 @@ def test_similar_documents(docs, none, spark):
     assert simhash.similar_documents(none).count() == 0
 
 
+def test_near_edges_miss_nothing():
+    r = np.random.default_rng(7)
+    base = r.integers(0, 2, (5, 512))
+    bits = np.concatenate([b ^ (r.random((120, 512)) < r.choice([0.02, 0.08, 0.1, 0.12], (120, 1))) for b in base])
+    wide = np.packbits(bits, axis=1).view("<u8")
+    apart = np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2)
+    a, b = simhash.near_edges(wide, 85)
+    assert (apart[a, b] <= 85).all() and len(a) < 20 * len(wide)
+    assert (simhash.forest(len(wide), a, b) == simhash.forest(len(wide), *np.nonzero(apart <= 85))).all()
+
+
+def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
+    ship_package(spark)
+    r, texts = random.Random(3), []
+    for _ in range(300):
+        words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(100)]
+        texts += [" ".join(words), " ".join([*words[:92], *words[:4]])]
+    crowd = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    ordinary = {r.key: r.component for r in simhash.similar_documents(crowd).collect()}
+    monkeypatch.setattr(simhash, "HOT", 4)
+    crowded = {r.key: r.component for r in simhash.similar_documents(crowd).collect()}
+    assert len(ordinary) == len(texts) and len(set(ordinary.values())) < 400 and crowded == ordinary
+
+
 def brute_spans(t):
     assign = re.compile(rb"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I)
     out = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]

@@ -225,6 +225,8 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 2) -> DataF
 
 #: 64-bit words of a wide fingerprint, and the recall to be reached for pairs at the similarity asked for.
 WIDE, RECALL = 8, 0.99
+#: Parts of a large bucket, at most.
+SIDES = 9
 
 
 def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
@@ -247,6 +249,34 @@ def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "key long, wide binary")
 
 
+def near_edges(wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect whatever links of at most `most` differing bits connect; none is missed.
+
+    What lies within `most` of a pivot is linked to it and done with. Of the others, only those within `most` of the
+    pivot's farthest can link to one of them (the triangle inequality), and one such link each is enough.
+    """
+    apart = lambda x, y: np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+    left, a, b = np.arange(len(wide)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while len(left):
+        d = apart(wide[left], wide[left[0]])
+        own, left, d_own, d = left[d <= most], left[d > most], d[d <= most], d[d > most]
+        a.append(np.full(len(own) - 1, own[0]))
+        b.append(own[1:])
+        ring = left[d <= most + d_own.max()]
+        for x in range(0, len(own), 64):
+            linked = np.zeros(len(ring), bool)
+            for y in range(0, len(ring), 1024):
+                near = apart(wide[own[x : x + 64], None], wide[ring[y : y + 1024]]) <= most
+                hit = np.flatnonzero(near.any(axis=0))
+                a.append(own[x + near.argmax(axis=0)[hit]])
+                b.append(ring[y + hit])
+                linked[y + hit] = True
+            ring = ring[~linked]
+            if not len(ring):
+                break
+    return np.concatenate(a), np.concatenate(b)
+
+
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row of docs: key (doc_id, null as NULL_ID), component (smallest key reachable).
 
@@ -254,7 +284,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     `similarity` alike: for Jaccard similarity s the bits differ with probability acos(2s / (1 + s)) / pi; one standard
     deviation is allowed. Fingerprints meet in bands, choices of r bits of which r grows with their number and the number of
     bands so that a pair at the similarity asked for meets with probability RECALL; a band's bucket that is large all
-    the same is dealt out again by more bits. A bucket returns a spanning forest of its links.
+    the same is cut into at most SIDES parts, every two of which meet, so that no pair is lost. A bucket returns a
+    spanning forest of its links.
     """
     fps, _ = staged(wide_fingerprints(docs, words))
     distinct, _ = staged(fps.groupBy("wide").agg(F.min("key").alias("node")))
@@ -266,7 +297,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     bands = int(np.ceil(np.log(1 - RECALL) / np.log(1 - (1 - differ) ** r)))
     rng = np.random.default_rng(17)
     chosen = [np.sort(rng.choice(bits, r, replace=False)) for _ in range(bands)]
-    finer = [np.sort(rng.choice(bits, 8, replace=False)) for _ in range(8)]
+    hot = HOT // 4
 
     def values(wide: np.ndarray, choice: np.ndarray) -> np.ndarray:
         bit = np.unpackbits(wide, axis=1, bitorder="little")[:, choice].astype(np.int64)
@@ -282,21 +313,17 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             for k, choice in enumerate(chosen):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(wide), k, np.int32)), pa.array(values(wide, choice)), *batch.columns], ["band", "value", *batch.schema.names])
 
-    def deal_again(batches):
-        for batch in batches:
-            wide = rows_of(batch)
-            band, value = batch.column("band").to_numpy(), batch.column("value").to_numpy()
-            for k, choice in enumerate(finer):
-                new = value << 8 | values(wide, choice)
-                yield pa.RecordBatch.from_arrays([pa.array((band + bands * (k + 1)).astype(np.int32)), pa.array(new), *batch.columns[2:]], batch.schema.names)
-
     schema = "band int, value long, wide binary, node long"
     dealt = distinct.select("wide", "node").mapInArrow(deal, schema)
     sizes = dealt.groupBy("band", "value").agg(F.count("*").alias("n"))
-    large, _ = staged(sizes.where(F.col("n") > HOT // 4).select("band", "value"))
-    usual = dealt
+    large, _ = staged(sizes.where(F.col("n") > hot).select("band", "value", F.least(F.lit(SIDES), 1 + F.ceil(F.col("n") / hot)).cast("int").alias("sides")))
+    usual = dealt.withColumn("part", F.lit(0))
     if not large.isEmpty():
-        usual = dealt.join(large, ["band", "value"], "left_anti").unionByName(dealt.join(large, ["band", "value"], "left_semi").mapInArrow(deal_again, schema))
+        own = F.pmod(F.xxhash64("node"), F.col("sides")).cast("int")
+        other = F.filter(F.sequence(F.lit(0), F.col("sides") - 1), lambda x: x != F.col("own"))
+        parts = F.transform(other, lambda x: F.least(x, F.col("own")) * SIDES + F.greatest(x, F.col("own")))
+        cut = dealt.join(large, ["band", "value"], "left").withColumn("own", own)
+        usual = cut.withColumn("part", F.explode(F.when(F.col("sides").isNull(), F.array(F.lit(0))).otherwise(parts))).select(*dealt.columns, "part")
 
     def bucket(t: pa.Table) -> pa.Table:
         wide = rows_of(t).view("<u8")
@@ -304,6 +331,8 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         order = np.argsort(gray_rank(wide[:, 0].astype(np.uint64)), kind="stable")
         wide, node = wide[order], node[order]
         a, b = [], []
+        if len(node) > hot:
+            return spanned(node, *([x] for x in near_edges(wide, most)))
         for at in range(0, len(node), 256):
             apart = np.zeros((min(256, len(node) - at), len(node) - at), np.uint16)
             for w in range(WIDE // 2):  # accumulated word by word; half of them rule out what is unlike
@@ -313,6 +342,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             near = np.bitwise_count(wide[i] ^ wide[j]).sum(axis=1, dtype=np.int64) <= most
             a.append(i[near])
             b.append(j[near])
+        return spanned(node, a, b)
+
+    def spanned(node: np.ndarray, a: list, b: list) -> pa.Table:
         root = forest(len(node), np.concatenate(a), np.concatenate(b))
         child = np.flatnonzero(root != np.arange(len(node)))
         return pa.table({"u": pa.array(node[child]), "v": pa.array(node[root[child]])})
@@ -323,14 +355,14 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             t = pa.Table.from_batches([batch])
             if rest is not None:
                 t = pa.concat_tables([rest, t])
-            band, value = t["band"].to_numpy(), t["value"].to_numpy()
-            heads = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (value[1:] != value[:-1])))
+            band, value, part = (t[c].to_numpy() for c in ("band", "value", "part"))
+            heads = np.flatnonzero(np.append(True, (band[1:] != band[:-1]) | (value[1:] != value[:-1]) | (part[1:] != part[:-1])))
             rest = t.slice(int(heads[-1]))
             yield from _buckets(t, heads, bucket)
         if rest is not None and rest.num_rows > 1:
             yield from bucket(rest).to_batches()
 
-    edges = usual.repartition("band", "value").sortWithinPartitions("band", "value").mapInArrow(join_all, "u long, v long")
+    edges = usual.repartition("band", "value", "part").sortWithinPartitions("band", "value", "part").mapInArrow(join_all, "u long, v long")
     found = components(edges.distinct())
     member = distinct.join(found.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("wide", F.coalesce("component", "node").alias("component"))
     return fps.join(member, "wide").select("key", "component")
