@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import langid, packing, secrets, simhash, substring_dedup
-from tidemark.llm.common import NULL_ID, drop_stage, stage_paths, staged, table
+from tidemark.llm.common import drop_stage, stage_paths, staged, table
 from tidemark.llm.queries import END_ID, vocabulary_path
 from tidemark.session import ship_package
 
@@ -31,14 +31,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest doc_id of each group of copies and near copies (five words, similarity 0.8)."""
+    """Keeps the document of the smallest doc_id (null first) of each group of copies and near copies (five words, similarity 0.8).
+
+    Rows are told apart by doc_id and text: unlike texts under one doc_id, or under none, are documents of their own.
+    """
     ship_package(spark)
     before = stage_paths()
-    stay, path = staged(simhash.similar_documents(docs).groupBy("component").agg(F.min("key").alias("__key")).select("__key"))
+    least = simhash.similar_groups(docs).groupBy("group").agg(F.min(F.struct(*simhash.ROW)).alias("row"))
+    stay, path = staged(least.select("row.*"))
     for old in stage_paths() - before - {path}:
         drop_stage(spark, old)
-    kept = docs.withColumn("__key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))).join(stay, "__key", "left_semi")
-    return kept.dropDuplicates(["__key"]).select(*docs.columns)
+    row = list(simhash.ROW)
+    return simhash.with_row(docs).join(stay, row, "left_semi").dropDuplicates(row).select(*docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

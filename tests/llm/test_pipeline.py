@@ -26,6 +26,14 @@ def test_stages(spark):
     assert {x.doc_id for x in out.collect()} == {1, 6, 7, None}
 
 
+def test_near_duplicates_of_rows_that_share_an_id(spark):
+    said = [" ".join(f"{w}{k}" for k in range(60)) for w in ("one", "two", "three", "four", "five")]
+    rows = [(None, said[0]), (None, said[1]), (7, said[2]), (7, said[3]), (8, said[0]), (9, said[1]), (10, said[4]), (10, said[4]), (11, said[4])]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), SF).collect()
+    want = [(None, said[0]), (None, said[1]), (7, said[2]), (7, said[3]), (10, said[4])]
+    assert sorted(map(str, ((r.doc_id, r.text) for r in out))) == sorted(map(str, want))
+
+
 def test_whole_table(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 150

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, fmix, ids, staged, utf8
+from .common import NULL_ID, chunks, fmix, staged, utf8
 from .components import components
 
 SEED = 42
@@ -229,8 +229,18 @@ WIDE, RECALL = 8, 0.99
 SIDES = 9
 
 
+#: What tells a row of the near-dedup stage from others: doc_id (null as NULL_ID) and 128 bits of the text, for rows may share an id.
+ROW = ("key", "text_a", "text_b")
+
+
+def with_row(docs: DataFrame) -> DataFrame:
+    """docs and the columns of ROW."""
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID))
+    return docs.select("*", key.alias(ROW[0]), F.xxhash64("text").alias(ROW[1]), F.xxhash64(F.lit(1), "text").alias(ROW[2]))
+
+
 def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
-    """key (doc_id, null as NULL_ID) and wide: WIDE * 64 majority bits over the set of the document's shingles."""
+    """The columns of ROW and wide: WIDE * 64 majority bits over the set of the document's shingles."""
     seeds = np.random.default_rng(3).integers(1, 1 << 63, WIDE, dtype=np.uint64)
 
     def make(batches):
@@ -244,9 +254,9 @@ def wide_fingerprints(docs: DataFrame, words: int) -> DataFrame:
                     many = fmix(hashes[at : at + 4096, None] + seeds)
                     counts += np.unpackbits(many.view(np.uint8).reshape(len(many), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
                 out.append(np.packbits(counts * 2 > len(hashes), bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids(batch.column("doc_id"))), pa.array(out, pa.binary())], ["key", "wide"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ROW), pa.array(out, pa.binary())], [*ROW, "wide"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(make, "key long, wide binary")
+    return with_row(docs.select("doc_id", "text")).select("text", *ROW).mapInArrow(make, ", ".join(f"{c} long" for c in ROW) + ", wide binary")
 
 
 def near_edges(wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -278,7 +288,14 @@ def near_edges(wide: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per row of docs: key (doc_id, null as NULL_ID), component (smallest key reachable).
+    """One row per row of docs: key (doc_id, null as NULL_ID), component (smallest key reachable)."""
+    groups = similar_groups(docs, words, similarity)
+    return groups.join(groups.groupBy("group").agg(F.min("key").alias("component")), "group").select("key", "component")
+
+
+def similar_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row of docs: the columns of ROW, and group (a number; equal where documents are linked). Links are those
+    of fingerprints: rows that share a doc_id, or have none, are not linked by that.
 
     Two documents link where the differing share of their wide fingerprints says that their shingle sets are at least
     `similarity` alike: for Jaccard similarity s the bits differ with probability acos(2s / (1 + s)) / pi; one standard
@@ -288,7 +305,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     spanning forest of its links.
     """
     fps, _ = staged(wide_fingerprints(docs, words))
-    distinct, _ = staged(fps.groupBy("wide").agg(F.min("key").alias("node")))
+    distinct, _ = staged(fps.select("wide").distinct().withColumn("node", F.monotonically_increasing_id()))  # staged: stays as it is
     n = distinct.count()
     bits = WIDE * 64
     differ = float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
@@ -364,5 +381,5 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     edges = usual.repartition("band", "value", "part").sortWithinPartitions("band", "value", "part").mapInArrow(join_all, "u long, v long")
     found = components(edges.distinct())
-    member = distinct.join(found.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("wide", F.coalesce("component", "node").alias("component"))
-    return fps.join(member, "wide").select("key", "component")
+    member = distinct.join(found.select(F.col("u").alias("node"), F.col("v").alias("group")), "node", "left").select("wide", F.coalesce("group", "node").alias("group"))
+    return fps.join(member, "wide").select(*ROW, "group")
