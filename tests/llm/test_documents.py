@@ -108,6 +108,21 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.remove_repeated_bytes(none).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    ship_package(spark)
+    r = random.Random(9)
+    said = lambda n: " ".join("".join(r.choice("abcdefgh") for _ in range(7)) for _ in range(n))
+    a, b, long, clean, short = said(80), said(80), said(150), said(90), said(3)
+    rows = [(1, f"{long} {a}"), (1, short), (2, clean), (3, a), (None, b), (None, b), (None, short), (None, f"{long[::-1]}"), (4, said(100)), (5, f"{said(70)} {a}"), (5, short), (5, short)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    bytes_ = {(x.doc_id, x.n_bytes): bytes(x.kept) for x in suffix_dedup.remove_repeated_bytes(docs).collect()}
+    assert len(bytes_) == 10 and bytes_[None, len(b)] == b"" and bytes_[3, len(a)] == b"" and bytes_[2, len(clean)].decode() == clean
+    assert bytes_[1, len(short)] == bytes_[5, len(short)] == bytes_[None, len(short)] == short.encode() and bytes_[1, len(rows[0][1])].decode() == long
+    words = sorted((str(x.doc_id), x.n_words, x.n_removed) for x in substring_dedup.remove_repeats(docs).collect())
+    none = [("None", 3, 0), ("None", 80, 0), ("None", 80, 80), ("None", len(long.split()), 0)]
+    assert words == sorted([("1", 230, 0), ("1", 3, 0), ("2", 90, 0), ("3", 80, 80), *none, ("4", 100, 0), ("5", 150, 80), ("5", 3, 0), ("5", 3, 0)])
+
+
 def test_family_marks_all_repeats():
     r = np.random.default_rng(2)
     key = r.integers(0, 400, 900).astype(np.uint64)

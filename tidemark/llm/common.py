@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_package
@@ -85,6 +85,21 @@ def shard_count(n_bytes: int, per_shard: int = 4 << 20, least: int = 32) -> int:
     return max(least, -(-n_bytes // per_shard))
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs (doc_id long, text, ...) and key, a long that tells documents apart and orders them by doc_id, null first.
+
+    Rows that share a doc_id and the text have one key; those that share an id only, and rows without one, have keys of
+    their own. Where no id is shared the key is the id; else all rows are numbered in order, and staged.
+    """
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return docs.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID)))
+    order = ["doc_id", "__a", "__b", "__alone"]
+    alone = F.when(F.col("doc_id").isNull(), F.monotonically_increasing_id())
+    marked = docs.withColumns({"__a": F.xxhash64("text"), "__b": F.xxhash64(F.lit(1), "text"), "__alone": alone})
+    numbered = marked.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("key", F.monotonically_increasing_id())
+    return staged(numbered.withColumn("key", F.min("key").over(Window.partitionBy(*order))).select(*docs.columns, "key"))[0]
+
+
 # ---------------------------------------------------------------- flat Arrow text
 
 

@@ -7,9 +7,10 @@
 3. Owners go back to their documents. A window estimated repeated whose occurrence is no owner starts earlier elsewhere,
    and its words go; a window that only looked repeated owns itself and stays.
 
-Defined cases: null or empty text has no words; a null doc_id comes before every other; rows that share a doc_id are
-judged as one document (the same window at the same start in both is one occurrence, and both keep it); a document of
-fewer words than a window loses nothing; further columns are ignored.
+Defined cases: null or empty text has no words; rows without a doc_id come before all others, each a document of its own;
+rows that share a doc_id and the text are judged as one document (a window is one occurrence, and both keep it), unlike
+texts under one doc_id as two, in an order fixed by their digests; a document of fewer words than a window loses nothing;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import NULL_ID, POLY, Words, chunks, ids, shard_count, text_bytes, utf8
+from .common import POLY, Words, chunks, ids, keyed, shard_count, text_bytes, utf8
 
 WINDOW = 20
 _PART = "shard int, key binary, tag binary, doc binary, start binary"
@@ -32,7 +33,7 @@ _PART_ARROW = pa.schema([("shard", pa.int32())] + [(c, pa.binary()) for c in ("k
 def _runs(batches: Iterator[pa.RecordBatch], both: bool) -> Iterator[tuple[Words, np.ndarray, int]]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        docs = ids(batch.column("doc_id"))
+        docs = ids(batch.column("key"))
         for a, b in chunks(offsets):
             part = offsets[a : b + 1]
             yield Words(data[part[0] : part[-1]], part - part[0], POLY if both else POLY[:1]), docs[a:b], a
@@ -115,15 +116,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: bool = False) -
     others = [c for c in docs.columns if c != "text"]
     row = F.struct(*others) if carry else F.lit(None).cast("struct<x:int>")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", row.alias("row"))
+    docs = keyed(docs)
     size = text_bytes(docs)
 
     def keys(batches):
         for words, _, _ in _runs(batches, False):
             yield words.windows(window, POLY[0])[1]
 
-    repeated = sketch.merged(docs.select("doc_id", "text"), keys, sketch.width(size // 6))
-    owned = owners(docs.select("doc_id", "text"), repeated, window, shard_count(size))
-    joined = docs.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(owned, F.col("key") == F.col("owner"), "left").select("doc_id", "text", "at", "row")
+    repeated = sketch.merged(docs.select("key", "text"), keys, sketch.width(size // 6))
+    owned = owners(docs.select("key", "text"), repeated, window, shard_count(size))
+    joined = docs.join(owned, F.col("key") == F.col("owner"), "left").select("doc_id", "key", "text", "at", "row")
 
     back = ["text", "row"] if carry else []
 

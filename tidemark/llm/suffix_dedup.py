@@ -16,9 +16,9 @@ copies, that settles all strings of an anchor with one entry. (3) What is left,
 representative of each repeated context, goes string by string through a sketch and the family again. A task sends each
 digest once and settles its own repeats itself, so that content in a third of all documents is as many entries as tasks.
 
-Defined cases: null or empty text has no bytes; texts shorter than MATCH lose nothing; matches never cross documents; a null
-doc_id is an id like any other; rows that share a doc_id and a place are one place (an exact repeat of a whole row is not a
-repeat of its text); further columns are ignored.
+Defined cases: null or empty text has no bytes; texts shorter than MATCH lose nothing; matches never cross documents; rows
+that share a doc_id and the text are one document (an exact repeat of a whole row is not a repeat of its text), unlike
+texts under one doc_id are two, and each row without a doc_id is its own; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import NULL_ID, POLY, chunks, drop_stage, fmix, ids, shard_count, staged, text_bytes, utf8
+from .common import POLY, chunks, drop_stage, fmix, ids, keyed, shard_count, staged, text_bytes, utf8
 
 MATCH = 400
 #: Positions of which a string's anchor is chosen: places that an anchor can have in a string.
@@ -102,7 +102,7 @@ class Anchors:
 def _runs(batches: Iterator[pa.RecordBatch], match: int) -> Iterator[tuple[Anchors, np.ndarray, int]]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        docs = ids(batch.column("doc_id"))
+        docs = ids(batch.column("key"))
         for a, b in chunks(offsets):
             part = offsets[a : b + 1]
             yield Anchors(data[part[0] : part[-1]], part - part[0], match), docs[a:b], a
@@ -298,8 +298,9 @@ def marks(docs: DataFrame, match: int) -> tuple[DataFrame, object]:
 def remove_repeated_bytes(docs: DataFrame, match: int = MATCH) -> DataFrame:
     """One row per row of docs: doc_id, kept (bytes that stay), n_bytes, n_removed, n_spans (maximal removed runs)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found, _ = marks(docs, match)
-    joined = docs.withColumn("key", F.coalesce("doc_id", F.lit(NULL_ID))).join(found, F.col("key") == F.col("owner"), "left").select("doc_id", "text", "whole", "part")
+    docs = keyed(docs)
+    found, _ = marks(docs.select("key", "text"), match)
+    joined = docs.join(found, F.col("key") == F.col("owner"), "left").select("doc_id", "key", "text", "whole", "part")
 
     def cut(batches):
         for batch in batches:
