@@ -28,7 +28,7 @@ from .tokens import ids_of
 
 CAPACITY = 1024
 #: Nodes of the search, and fillings looked at in one node, after which the incumbent or what is found stands.
-NODES, STEPS = 6000, 4000
+NODES, STEPS = 2000, 500
 #: Fillings tried at a node.
 BRANCHES = 8
 #: Pieces numbered by one window group, about.
