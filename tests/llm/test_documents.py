@@ -1,5 +1,6 @@
 """Operators on documents against brute force, on a small table of awkward rows and on no rows."""
 
+import bisect
 import hashlib
 import random
 import re
@@ -86,6 +87,24 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.remove_repeats(none).count() == 0
 
 
+def test_words_made_to_collide(spark):
+    """Two words over two letters whose polynomial hashes modulo 2**64 agree for every base share no window."""
+    ship_package(spark)
+    word = "".join("ab"[k.bit_count() % 2] for k in range(1024))
+    other = word.translate(str.maketrans("ab", "ba"))
+    head = " ".join(f"w{k}" for k in range(19))
+    rows = [(1, f"{head} {word}"), (2, f"{head} {other}"), (3, f"{other} {head}"), (4, f"{head} {other}")]
+    got = substring_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), carry=False).collect()
+    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (2, 0), (3, 0), (4, 20)]
+    long = spark.createDataFrame([(1, word), (2, other), (3, "c" + other[:500])], "doc_id long, text string")
+    brute = {w: [(i, p) for i, t in ((1, word), (2, other), (3, "c" + other[:500])) for p in range(len(t) - 399) if t[p : p + 400] == w] for w in {t[p : p + 400] for t in (word, other, "c" + other[:500]) for p in range(len(t) - 399)}}
+    gone = {1: set(), 2: set(), 3: set()}
+    for places in brute.values():
+        for i, p in places if len(places) > 1 else ():
+            gone[i] |= set(range(p, p + 400))
+    assert {r.doc_id: r.n_removed for r in suffix_dedup.remove_repeated_bytes(long).collect()} == {i: len(g) for i, g in gone.items()}
+
+
 def test_suffix_dedup(docs, none):
     where = {}
     for i, s in set(texts()):
@@ -306,6 +325,44 @@ def test_packing_of_many_short_pieces():
         assert used.tolist() == counts.tolist() and bound <= sum(n for n, _ in patterns) <= most
 
 
+def plain_best_fit(sizes, capacity):
+    """Best fit decreasing, piece by piece: number of bins."""
+    rooms = []
+    for x in sorted(sizes, reverse=True):
+        k = bisect.bisect_left(rooms, x)
+        room = rooms.pop(k) if k < len(rooms) else capacity
+        bisect.insort(rooms, room - x)
+    return len(rooms)
+
+
+LENGTHS = {
+    "340-345": lambda r: r.integers(340, 346, 1000),
+    "any": lambda r: r.integers(1, 1025, 3000),
+    "200-600": lambda r: r.integers(200, 601, 3000),
+    "short": lambda r: np.clip(r.exponential(200, 5000).astype(int) + 1, 1, 1024),
+    "log-normal": lambda r: np.clip(np.exp(r.normal(5.5, 1, 4000)).astype(int) + 1, 1, 1024),
+    "250-520": lambda r: r.integers(250, 521, 1500),
+}
+
+
+@pytest.mark.parametrize("name", LENGTHS)
+def test_packing_never_loses_to_best_fit(name):
+    sizes = LENGTHS[name](np.random.default_rng(5))
+    counts, used = np.bincount(sizes, minlength=1025), np.zeros(1025, int)
+    patterns, bound = packing.pack_counts(counts, 1024)
+    for n, items in patterns:
+        for length, times in items:
+            used[length] += n * times
+    assert used.tolist() == counts.tolist() and bound <= sum(n for n, _ in patterns) <= plain_best_fit(sizes, 1024)
+
+
+def test_packing_of_real_lengths_against_best_fit(spark):
+    ship_package(spark)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = packing.pack(table, PATH, 2).select("sequence_id", "length").collect()
+    assert len({r.sequence_id for r in rows}) <= plain_best_fit([r.length for r in rows], 1024) <= 964
+
+
 def test_token_files(docs, none, spark, tmp_path):
     t, at, want = Tokenizer.from_file(PATH), 0, []
     for i, s in sorted(texts(), key=lambda x: (x[0], 0)):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,10 +35,12 @@ _STAGES: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset (local runs)."""
+    """The folder the cluster names in spark.checkpoint.dir; one of our own only where it is unset, on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
     if not getattr(spark, "_tidemark_dir", None):
         spark._tidemark_dir = "file://" + tempfile.mkdtemp(prefix="tidemark-")
     return spark._tidemark_dir
@@ -152,8 +156,20 @@ def powers(base: int, n: int) -> np.ndarray:
     return out
 
 
+def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of BLAKE2b, as two words, of data[start:end]: what equality of content is decided by."""
+    view, make = memoryview(data), hashlib.blake2b
+    flat = b"".join([make(view[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+    both = np.frombuffer(flat, _U64).reshape(-1, 2)
+    return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
+
 class Poly:
-    """Polynomial hashes modulo 2**64: a random 64-bit value per byte, an odd base. Two seeds make 128 bits."""
+    """Polynomial hashes modulo 2**64: a random 64-bit value per byte, an odd base.
+
+    Made to collide with ease (words over two letters after Thue and Morse do, whatever the base), so they only choose the
+    cells of sketches, where a collision costs time; equality is decided by `digests`.
+    """
 
     def __init__(self, seed: int):
         draw = np.random.default_rng(seed)
@@ -183,13 +199,13 @@ class Poly:
         return fmix((prefix[end] - prefix[start]) * self.down(len(prefix))[start])
 
 
-POLY = (Poly(11), Poly(29))
+POLY = Poly(11)
 
 
 class Words:
-    """Words [^\\x20\\x09-\\x0D]+ of a run of documents: starts, ends, document of each, 64-bit hashes."""
+    """Words [^\\x20\\x09-\\x0D]+ of a run of documents: starts, ends, document of each, a 64-bit hash for sketches."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, polys: tuple[Poly, ...] = POLY[:1]):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, poly: Poly = POLY):
         blank = (data == 32) | ((data >= 9) & (data <= 13))
         solid = ~blank
         first = solid.copy()
@@ -205,7 +221,7 @@ class Words:
         self.start, self.end = np.flatnonzero(first), np.flatnonzero(last) + 1
         self.doc = np.searchsorted(offsets, self.start, "right") - 1
         self.begin = np.searchsorted(self.doc, np.arange(self.n_docs + 1))  # first word of each document
-        self.hash = [np.zeros(0, _U64) for _ in polys]
+        self.poly, self.hash = poly, np.zeros(0, _U64)
         if len(self.start):
             size = self.end - self.start
             at = np.flatnonzero(solid)
@@ -213,12 +229,22 @@ class Words:
             local = at - np.repeat(self.start, size)
             byte = data[at]
             longest = int(size.max())
-            self.hash = [fmix(np.add.reduceat(p.bytes[byte] * p.up(longest)[local], edge) + size.astype(_U64)) for p in polys]
+            self.hash = fmix(np.add.reduceat(poly.bytes[byte] * poly.up(longest)[local], edge) + size.astype(_U64))
 
-    def windows(self, length: int, poly: Poly, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first word, hash) of every run of length words that stays in one document."""
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """(index of the first word, hash for sketches) of every run of length words that stays in one document."""
         n = len(self.start)
         if n < length:
             return np.zeros(0, np.int64), np.zeros(0, _U64)
         at = np.flatnonzero(self.doc[length - 1 :] == self.doc[: n - length + 1])
-        return at, poly.spans(poly.prefix(self.hash[which]), at, at + length)
+        return at, self.poly.spans(self.poly.prefix(self.hash), at, at + length)
+
+    def digests(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Digests of the runs of length words from each of at on: of the words joined by one space, so of the words themselves."""
+        size = self.end - self.start
+        begin = np.cumsum(size + 1) - size - 1
+        joined = np.full(int(size.sum()) + len(size), 32, np.uint8)
+        word = np.repeat(np.arange(len(size)), size)
+        local = np.arange(len(word)) - np.repeat(np.cumsum(size) - size, size)
+        joined[begin[word] + local] = self.data[self.start[word] + local]
+        return digests(joined.tobytes(), begin[at], begin[at + length - 1] + size[at + length - 1])

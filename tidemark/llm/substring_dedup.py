@@ -1,7 +1,7 @@
 """Removal of repeated passages, by word windows, with a count-min prefilter.
 
 1. Every partition sketches its windows; the merged sketch overestimates how often a window occurs (llm/sketch.py).
-2. Only windows estimated repeated are grouped exactly, by a 96-bit hash of their words: the first occurrence by
+2. Only windows estimated repeated are grouped, by a 128-bit BLAKE2b digest of their words: the first occurrence by
    (doc_id, start) owns the window. A partition sends each window once, its own first, so a window that is in a
    third of all documents costs a row per partition, not per document.
 3. Owners go back to their documents. A window estimated repeated whose occurrence is no owner starts earlier elsewhere,
@@ -23,20 +23,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import POLY, Words, chunks, ids, keyed, shard_count, text_bytes, utf8
+from .common import Words, chunks, ids, keyed, shard_count, text_bytes, utf8
 
 WINDOW = 20
-_PART = "shard int, key binary, tag binary, doc binary, start binary"
-_PART_ARROW = pa.schema([("shard", pa.int32())] + [(c, pa.binary()) for c in ("key", "tag", "doc", "start")])
+_PART = "shard int, high binary, low binary, doc binary, start binary"
+_PART_ARROW = pa.schema([("shard", pa.int32())] + [(c, pa.binary()) for c in ("high", "low", "doc", "start")])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], both: bool) -> Iterator[tuple[Words, np.ndarray, int]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Words, np.ndarray, int]]:
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         docs = ids(batch.column("key"))
         for a, b in chunks(offsets):
             part = offsets[a : b + 1]
-            yield Words(data[part[0] : part[-1]], part - part[0], POLY if both else POLY[:1]), docs[a:b], a
+            yield Words(data[part[0] : part[-1]], part - part[0]), docs[a:b], a
 
 
 def _split(shards: np.ndarray, columns: list[np.ndarray], schema: pa.Schema) -> pa.RecordBatch | None:
@@ -51,12 +51,12 @@ def _split(shards: np.ndarray, columns: list[np.ndarray], schema: pa.Schema) ->
     return pa.RecordBatch.from_arrays([pa.array(shards[heads].astype(np.int32)), *packed], schema=schema)
 
 
-def _firsts(key, tag, doc, start) -> np.ndarray:
-    """Indices of the earliest occurrence of each (key, tag)."""
-    order = np.lexsort((start, doc, tag, key))
-    k, t = key[order], tag[order]
+def _firsts(high, low, doc, start) -> np.ndarray:
+    """Indices of the earliest occurrence of each digest (high, low)."""
+    order = np.lexsort((start, doc, low, high))
+    h, w = high[order], low[order]
     head = np.ones(len(order), bool)
-    head[1:] = (k[1:] != k[:-1]) | (t[1:] != t[:-1])
+    head[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
     return order[head]
 
 
@@ -68,18 +68,16 @@ def owners(docs: DataFrame, repeated, window: int, shards: int) -> DataFrame:
         n = 0
 
         def flush():
-            key, tag, doc, start = (np.concatenate(c) for c in zip(*held, strict=True))
-            own = np.sort(_firsts(key, tag, doc, start))
-            key = key[own]
-            return _split((key % np.uint64(shards)).astype(np.int64), [key, tag[own], doc[own], start[own]], _PART_ARROW)
-
-        for words, doc_ids, _ in _runs(batches, True):
-            at, key = words.windows(window, POLY[0])
-            keep = repeated.value.may_repeat(key)
-            at, key = at[keep], key[keep]
-            tag = (POLY[1].spans(POLY[1].prefix(words.hash[1]), at, at + window) >> np.uint64(32)).astype(np.uint32)
+            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
+            own = np.sort(_firsts(*columns))
+            columns = [c[own] for c in columns]
+            return _split((columns[0] % np.uint64(shards)).astype(np.int64), columns, _PART_ARROW)
+
+        for words, doc_ids, _ in _runs(batches):
+            at, key = words.windows(window)
+            at = at[repeated.value.may_repeat(key)]
             doc = words.doc[at]
-            held.append((key, tag, doc_ids[doc], (at - words.begin[doc]).astype(np.int32)))
+            held.append((*words.digests(at, window), doc_ids[doc], (at - words.begin[doc]).astype(np.int32)))
             n += len(at)
             if n >= sketch.FLUSH:
                 yield flush()
@@ -88,8 +86,8 @@ def owners(docs: DataFrame, repeated, window: int, shards: int) -> DataFrame:
             yield flush()
 
     def own(group: pa.Table) -> pa.Table:
-        key, tag, doc, start = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in (("key", np.uint64), ("tag", np.uint32), ("doc", np.int64), ("start", np.int32)))
-        first = _firsts(key, tag, doc, start)
+        high, low, doc, start = (np.frombuffer(b"".join(group[c].to_pylist()), t) for c, t in (("high", np.uint64), ("low", np.uint64), ("doc", np.int64), ("start", np.int32)))
+        first = _firsts(high, low, doc, start)
         doc, start = doc[first], start[first]
         order = np.lexsort((start, doc))
         doc, start = doc[order], start[order]
@@ -120,8 +118,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: bool = False) -
     size = text_bytes(docs)
 
     def keys(batches):
-        for words, _, _ in _runs(batches, False):
-            yield words.windows(window, POLY[0])[1]
+        for words, _, _ in _runs(batches):
+            yield words.windows(window)[1]
 
     repeated = sketch.merged(docs.select("key", "text"), keys, sketch.width(size // 6))
     owned = owners(docs.select("key", "text"), repeated, window, shard_count(size))
@@ -132,9 +130,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: bool = False) -
     def cut(batches):
         for batch in batches:
             owner_data, owner_offsets = utf8(batch.column("at"))
-            for words, _, a in _runs(iter([batch]), False):
+            for words, _, a in _runs(iter([batch])):
                 n, docs_here = len(words.start), words.n_docs
-                at, key = words.windows(window, POLY[0])
+                at, key = words.windows(window)
                 gone = np.zeros(n + 1, bool)
                 gone[at[repeated.value.may_repeat(key)]] = True
                 part = owner_offsets[a : a + docs_here + 1]

@@ -3,8 +3,8 @@ logarithmic index family.
 
 Suffixes. A string of MATCH bytes is looked at where the least 8-byte gram of its first REACH positions stands (leftmost on
 ties): equal strings choose the same place, its anchor, so only suffixes that belong to anchors of possibly repeated
-content are indexed. The order of a suffix array is that of a 96-bit digest of the string that a suffix begins with; equal
-strings are neighbours in it, which is all that a scan for matches of at least MATCH bytes asks of the order.
+content are indexed. The order of a suffix array is that of a 128-bit BLAKE2b digest of the string that a suffix begins with;
+equal strings are neighbours in it, which is all that a scan for matches of at least MATCH bytes asks of the order.
 
 Index. A task holds the suffixes of one range of digests as levels of growing size. A new batch (what one task sent) is
 sorted into a suffix array, merge-scanned against every level, matches being marked on both sides, and pushed; two levels
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import POLY, chunks, drop_stage, fmix, ids, keyed, shard_count, staged, text_bytes, utf8
+from .common import POLY, chunks, digests, drop_stage, fmix, ids, keyed, shard_count, staged, text_bytes, utf8
 
 MATCH = 400
 #: Positions of which a string's anchor is chosen: places that an anchor can have in a string.
@@ -40,7 +40,7 @@ _GRAM = 8
 #: Entries a task gathers before it sends them.
 FLUSH = 2_000_000
 
-_SENT = "kind int, shard int, key binary, tag binary, doc binary, at binary, twice binary"
+_SENT = "kind int, shard int, high binary, low binary, doc binary, at binary, twice binary"
 _MARKED = "kind int, bucket int, doc binary, at binary"
 
 
@@ -79,19 +79,20 @@ class Anchors:
         self.at = anchor[new]  # ascending: a place is the anchor of one run of strings
         self.group = np.cumsum(new) - 1
         self.doc = np.searchsorted(offsets, self.at, "right") - 1
-        self.values = [None, None]
+        self.prefix = None
 
-    def prefix(self, which: int) -> np.ndarray:
-        if self.values[which] is None:
-            self.values[which] = POLY[which].prefix(POLY[which].bytes[self.data])
-        return self.values[which]
+    def key(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes for sketches; equality is decided by `digest`."""
+        if self.prefix is None:
+            self.prefix = POLY.prefix(POLY.bytes[self.data])
+        return POLY.spans(self.prefix, start, end)
 
-    def digest(self, which: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return POLY[which].spans(self.prefix(which), start, end)
+    def digest(self, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return digests(self.data.tobytes(), start, end)
 
     def cores(self) -> np.ndarray:
-        """Digest of the bytes that all strings of an anchor share."""
-        return self.digest(0, self.at, self.at + self.match - REACH + 1) if len(self.at) else np.zeros(0, np.uint64)
+        """Hash of the bytes that all strings of an anchor share."""
+        return self.key(self.at, self.at + self.match - REACH + 1) if len(self.at) else np.zeros(0, np.uint64)
 
     def contexts(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, whether within the document) of the bytes that all strings of an anchor can cover."""
@@ -109,7 +110,7 @@ def _runs(batches: Iterator[pa.RecordBatch], match: int) -> Iterator[tuple[Ancho
 
 
 class Family:
-    """Suffix arrays of geometrically growing size. A suffix: digest (key, tag), document, place, whether it has matched."""
+    """Suffix arrays of geometrically growing size. A suffix: digest (high, low), document, place, whether it has matched."""
 
     def __init__(self):
         self.levels: list[tuple[np.ndarray, ...]] = []
@@ -119,15 +120,15 @@ class Family:
         """The merged array of two; suffixes equal to a neighbour are marked."""
         both = [np.concatenate(c) for c in zip(a, b, strict=True)]
         order = np.lexsort((both[1], both[0]))
-        key, tag, doc, at, hit = (c[order] for c in both)
-        same = (key[1:] == key[:-1]) & (tag[1:] == tag[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
+        high, low, doc, at, hit = (c[order] for c in both)
+        same = (high[1:] == high[:-1]) & (low[1:] == low[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
         hit[1:] |= same
         hit[:-1] |= same
-        return key, tag, doc, at, hit
+        return high, low, doc, at, hit
 
-    def add(self, key, tag, doc, at, hit) -> None:
-        none = tuple(c[:0] for c in (key, tag, doc, at, hit))
-        batch = self._merge((key, tag, doc, at, hit.copy()), none)
+    def add(self, high, low, doc, at, hit) -> None:
+        none = tuple(c[:0] for c in (high, low, doc, at, hit))
+        batch = self._merge((high, low, doc, at, hit.copy()), none)
         for level in self.levels:  # scan: marks on both sides
             keys = np.searchsorted(level[0], batch[0])
             near = np.flatnonzero(level[0][np.minimum(keys, len(level[0]) - 1)] == batch[0])
@@ -135,9 +136,12 @@ class Family:
                 continue
             own = np.flatnonzero(np.isin(level[0], batch[0][near]))
             merged = self._merge(tuple(c[own] for c in level), tuple(c[near] for c in batch))
-            found = {(k, t) for k, t, h in zip(merged[0].tolist(), merged[1].tolist(), merged[4].tolist(), strict=True) if h}
-            for array, rows in ((level, own), (batch, near)):
-                array[4][rows] |= np.fromiter(((k, t) in found for k, t in zip(array[0][rows].tolist(), array[1][rows].tolist(), strict=True)), bool, len(rows))
+            run = _runs_of(merged[0], merged[1])
+            hit = np.bincount(run, weights=merged[4]) > 0
+            head = np.flatnonzero(np.append(True, run[1:] != run[:-1]))
+            for array, rows in ((level, own), (batch, near)):  # rows are in the order of merged: their runs are found by a merge
+                which = run[_places(merged[0][head], merged[1][head], head, array[0][rows], array[1][rows])]
+                array[4][rows] |= hit[which]
         self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-1][0]) * 2 >= len(self.levels[-2][0]):
             b, a = self.levels.pop(), self.levels.pop()
@@ -148,11 +152,25 @@ class Family:
         out = self.levels[0]
         for level in self.levels[1:]:
             out = self._merge(out, level)
-        key, tag, doc, at, hit = out
-        head = np.append(True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1]))
-        run = np.cumsum(head) - 1
+        high, low, doc, at, hit = out
+        run = _runs_of(high, low)
         any_hit = np.bincount(run, weights=hit) > 0
-        return key, tag, doc, at, any_hit[run]
+        return high, low, doc, at, any_hit[run]
+
+
+def _runs_of(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The number of the run of equal digests that each suffix is in."""
+    return np.cumsum(np.append(True, (high[1:] != high[:-1]) | (low[1:] != low[:-1]))[: len(high)]) - 1
+
+
+def _places(high: np.ndarray, low: np.ndarray, head: np.ndarray, of_high: np.ndarray, of_low: np.ndarray) -> np.ndarray:
+    """Where the run of each digest of (of_high, of_low) begins; the runs, (high, low) at head, are in order and hold them all."""
+    at = np.searchsorted(high, of_high)
+    while True:  # digests that agree in their high word: on to the one that agrees in both
+        wrong = low[at] != of_low
+        if not wrong.any():
+            return head[at]
+        at = at + wrong
 
 
 def _packed(groups: np.ndarray, columns: list[np.ndarray]) -> tuple[np.ndarray, list[pa.Array]]:
@@ -173,21 +191,21 @@ def _place_key(doc: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def repeated(docs: DataFrame, entries: Callable, shards: int) -> tuple[DataFrame, str]:
     """All (doc, at) whose digest occurs at another (doc, at) too, packed by bucket of doc (kind 1); and, as kind 2, for each
-    digest its first place. entries(batches) yields (key, tag, doc, at) arrays. Also the stage table that this reads."""
+    digest its first place. entries(batches) yields (high, low, doc, at) arrays. Also the stage table that this reads."""
 
     def send(batches):
         held: list[tuple] = []
         n = 0
 
         def flush():
-            key, tag, doc, at = (np.concatenate(c) for c in zip(*held, strict=True))
-            order = np.lexsort((at, doc, tag, key))
-            key, tag, doc, at = key[order], tag[order], doc[order], at[order]
-            head = np.append(True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1]))
+            high, low, doc, at = (np.concatenate(c) for c in zip(*held, strict=True))
+            order = np.lexsort((at, doc, low, high))
+            high, low, doc, at = high[order], low[order], doc[order], at[order]
+            run = _runs_of(high, low)
+            head = np.append(True, run[1:] != run[:-1])
             other = np.append(False, ~head[1:] & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1])))
-            run = np.cumsum(head) - 1
             twice = np.bincount(run, weights=other) > 0  # settled here: all of the run repeat
-            shard, packed = _packed((key[head] % np.uint64(shards)).astype(np.int32), [key[head], tag[head], doc[head], at[head], twice])
+            shard, packed = _packed((high[head] % np.uint64(shards)).astype(np.int32), [high[head], low[head], doc[head], at[head], twice])
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(shard), np.int32)), pa.array(shard), *packed], [c.split()[0] for c in _SENT.split(", ")])
             own = other & twice[run]
             bucket, packed = _packed(_bucket(doc[own], shards), [doc[own], at[own]])
@@ -206,18 +224,18 @@ def repeated(docs: DataFrame, entries: Callable, shards: int) -> tuple[DataFrame
     def index(group: pa.Table) -> pa.Table:
         family = Family()
         for k in range(group.num_rows):
-            family.add(*(np.frombuffer(group[c][k].as_py(), t) for c, t in (("key", np.uint64), ("tag", np.uint32), ("doc", np.int64), ("at", np.int32), ("twice", bool))))
-        key, tag, doc, at, hit = family.whole()
+            family.add(*(np.frombuffer(group[c][k].as_py(), t) for c, t in (("high", np.uint64), ("low", np.uint64), ("doc", np.int64), ("at", np.int32), ("twice", bool))))
+        high, low, doc, at, hit = family.whole()
         bucket, packed = _packed(_bucket(doc[hit], shards), [doc[hit], at[hit]])
-        order = np.lexsort((at, doc, tag, key))
-        first = order[np.append(True, (key[1:] != key[:-1]) | (tag[1:] != tag[:-1]))]
+        order, run = np.lexsort((at, doc, low, high)), _runs_of(high, low)
+        first = order[np.append(True, run[1:] != run[:-1])]
         kind = pa.array(np.append(np.ones(len(bucket), np.int32), np.int32(2)))
         buckets = pa.array(np.append(bucket, -1).astype(np.int32))
         parts = [pa.array([*p.to_pylist(), c[first].tobytes()], pa.binary()) for p, c in zip(packed, (doc, at), strict=True)]
         return pa.table([kind, buckets, *parts], ["kind", "bucket", "doc", "at"])
 
     sent, path = staged(docs.mapInArrow(send, _SENT))
-    indexed = sent.where("kind = 0").select("shard", "key", "tag", "doc", "at", "twice").groupBy("shard").applyInArrow(index, _MARKED)
+    indexed = sent.where("kind = 0").select("shard", "high", "low", "doc", "at", "twice").groupBy("shard").applyInArrow(index, _MARKED)
     return indexed.unionByName(sent.where("kind = 1").select("kind", F.col("shard").alias("bucket"), "doc", "at")), path
 
 
@@ -239,8 +257,7 @@ def marks(docs: DataFrame, match: int) -> tuple[DataFrame, object]:
                 start, end, within = a.contexts()
                 keep = np.flatnonzero(within & cores.value.may_repeat(a.cores()))
                 start, end, doc = start[keep], end[keep], a.doc[keep]
-                tag = (a.digest(1, start, end) >> np.uint64(32)).astype(np.uint32)
-                yield a.digest(0, start, end), tag, docs_[doc], (a.at[keep] - a.offsets[doc]).astype(np.int32)
+                yield *a.digest(start, end), docs_[doc], (a.at[keep] - a.offsets[doc]).astype(np.int32)
 
     settled, path = repeated(docs, context_entries, shards)
     whole, _ = staged(settled)
@@ -265,18 +282,16 @@ def marks(docs: DataFrame, match: int) -> tuple[DataFrame, object]:
 
     def string_keys(batches):
         for a, _, own in strings(batches):
-            yield a.digest(0, a.start[own], a.start[own] + match)
+            yield a.key(a.start[own], a.start[own] + match)
 
     likely = sketch.merged(docs, string_keys, sketch.width(size // 12))
 
     def string_entries(batches):
         for a, docs_, own in strings(batches):
             start = a.start[own]
-            key = a.digest(0, start, start + match)
-            keep = likely.value.may_repeat(key)
-            start, key, doc = start[keep], key[keep], a.doc[a.group[own[keep]]]
-            tag = (a.digest(1, start, start + match) >> np.uint64(32)).astype(np.uint32)
-            yield key, tag, docs_[doc], (start - a.offsets[doc]).astype(np.int32)
+            keep = likely.value.may_repeat(a.key(start, start + match))
+            start, doc = start[keep], a.doc[a.group[own[keep]]]
+            yield *a.digest(start, start + match), docs_[doc], (start - a.offsets[doc]).astype(np.int32)
 
     part, _ = repeated(docs, string_entries, shards)
 
