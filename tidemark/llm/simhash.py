@@ -15,6 +15,7 @@ further columns are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -77,33 +78,52 @@ def gray_rank(fp: np.ndarray) -> np.ndarray:
     return fp
 
 
-def linked_pairs(fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """All i < j with at most distance differing bits; fps (uint64) in Gray order."""
-    ones = ~np.uint64(0)
-    levels = [(fps, np.full(len(fps), ones))]
+#: Differences computed at once in a descent (memory: some 40 bytes each).
+FRONTIER = 1 << 21
+
+
+def linked_pairs(fps: np.ndarray, distance: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of all i < j with at most distance differing bits; fps (uint64, of one or more words each) in Gray order.
+
+    Every level keeps, for a node, the bits that all its members share and that its parent does not know of yet. A descent
+    adds up the differences level by level and leaves a node, with all below it, once they exceed the distance.
+    """
+    fps = fps.reshape(len(fps), -1)
+    levels = [(fps, np.full(fps.shape, ~np.uint64(0)))]
     while len(levels[-1][0]) > FAN:
         pattern, mask = levels[-1]
         edge = np.arange(0, len(pattern), FAN)
         every, some = np.bitwise_and.reduceat(pattern, edge), np.bitwise_or.reduceat(pattern, edge)
-        levels.append((every, ~(every ^ some) & np.bitwise_and.reduceat(mask, edge)))  # bits that all members share
-    found: tuple[list, list] = ([], [])
-    step = max(1, (1 << 20) // max(len(levels[-1][0]), FAN))
+        levels.append((every, ~(every ^ some) & np.bitwise_and.reduceat(mask, edge)))
+    news = [mask & ~levels[k + 1][1][np.arange(len(mask)) // FAN] if k + 1 < len(levels) else mask for k, (_, mask) in enumerate(levels)]
+    top = len(levels[-1][0])
+    step = max(1, FRONTIER // (len(fps) * fps.shape[1]))
     for at in range(0, len(fps), step):  # queries in blocks: bounded frontier
         who = np.arange(at, min(at + step, len(fps)))
-        q, node = np.repeat(who, len(levels[-1][0])), np.tile(np.arange(len(levels[-1][0])), len(who))
+        q, node = np.repeat(who, top), np.tile(np.arange(top), len(who))
+        apart = np.zeros(len(q), np.int64)
         for depth in range(len(levels) - 1, -1, -1):
-            pattern, mask = levels[depth]
-            near = np.bitwise_count((fps[q] ^ pattern[node]) & mask[node]) <= distance
-            near &= (node + 1) * FAN**depth > q  # each pair once
-            q, node = q[near], node[near]
+            later = (node + 1) * FAN**depth > q  # each pair once
+            q, node, apart = q[later], node[later], apart[later]
+            apart = apart + np.bitwise_count((fps[q] ^ levels[depth][0][node]) & news[depth][node]).sum(axis=1, dtype=np.int64)
+            near = apart <= distance
+            q, node, apart = q[near], node[near], apart[near]
             if depth:
-                q = np.repeat(q, FAN)
+                q, apart = np.repeat(q, FAN), np.repeat(apart, FAN)
                 node = (node[:, None] * FAN + np.arange(FAN)).ravel()
                 there = node < len(levels[depth - 1][0])
-                q, node = q[there], node[there]
-        found[0].append(q[node > q])
-        found[1].append(node[node > q])
-    return np.concatenate(found[0]), np.concatenate(found[1])
+                q, node, apart = q[there], node[there], apart[there]
+        pair = node > q
+        yield q[pair], node[pair]
+
+
+def spanning(n: int, blocks: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """The smallest index of each index's component under all pairs of the blocks, one block at a time."""
+    root = np.arange(n)
+    for a, b in blocks:
+        if len(a):
+            root = forest(n, np.concatenate([a, np.arange(n)]), np.concatenate([b, root]))
+    return root
 
 
 def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,8 +197,7 @@ def links(distinct: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
         if len(fp) < 2:
             return none
         fp = fp[np.argsort(gray_rank(fp), kind="stable")]
-        a, b = linked_pairs(fp, distance)
-        root = forest(len(fp), a, b)
+        root = spanning(len(fp), linked_pairs(fp, distance))
         child = np.flatnonzero(root != np.arange(len(fp)))
         fp = fp.view(np.int64)
         return pa.table({"u": pa.array(fp[child]), "v": pa.array(fp[root[child]])})
