@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, packing, secrets, simhash, substring_dedup
+from tidemark.llm import langid, packing, secrets, similar, substring_dedup
 from tidemark.llm.common import drop_stage, stage_paths, staged, table
 from tidemark.llm.queries import END_ID, vocabulary_path
 from tidemark.session import ship_package
@@ -22,27 +22,38 @@ def _with_text(docs: DataFrame, columns: list[str]) -> DataFrame:
     return docs.select(*columns)
 
 
+def _free(names: tuple[str, ...], taken: list[str]) -> tuple[str, ...]:
+    """The names, each lengthened until it is none of those taken (which Spark compares without case)."""
+    low, out = {t.lower() for t in taken}, []
+    for n in names:
+        while n in low:
+            n += "_"
+        out.append(n)
+    return tuple(out)
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents in which no language can be told: null, or without a letter."""
     ship_package(spark)
     model = langid.train(langid.training_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang"), ~langid.held_out(F.col("doc_id"))))
-    out = langid.predict(docs, model, ("__pred", "__score", "__ambiguous"))
-    return out.where(F.col("__pred") != langid.UNDETERMINED).select(*docs.columns)
+    new = _free(("pred", "score", "ambiguous"), docs.columns)
+    return langid.predict(docs, model, new).where(F.col(new[0]) != langid.UNDETERMINED).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest doc_id (null first) of each group of copies and near copies (five words, similarity 0.8).
 
-    Rows are told apart by doc_id and text: unlike texts under one doc_id, or under none, are documents of their own.
+    Rows are told apart by doc_id and text: unlike texts under one doc_id, or under none, are documents of their own. SimHash
+    proposes links, the shingle sets decide them.
     """
     ship_package(spark)
     before = stage_paths()
-    least = simhash.similar_groups(docs).groupBy("group").agg(F.min(F.struct(*simhash.ROW)).alias("row"))
+    least = similar.similar_groups(docs).groupBy("group").agg(F.min(F.struct(*similar.ROW)).alias("row"))
     stay, path = staged(least.select("row.*"))
     for old in stage_paths() - before - {path}:
         drop_stage(spark, old)
-    row = list(simhash.ROW)
-    return simhash.with_row(docs).join(stay, row, "left_semi").dropDuplicates(row).select(*docs.columns)
+    row = list(similar.ROW)
+    return similar.with_row(docs).join(stay, row, "left_semi").dropDuplicates(row).select("row.*")
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
