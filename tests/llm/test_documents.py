@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from tokenizers import Tokenizer
 
-from tidemark.llm import bpe, langid, packing, secrets, simhash, substring_dedup, suffix_dedup, token_files
+from tidemark.llm import bpe, langid, packing, secrets, similar, simhash, substring_dedup, suffix_dedup, token_files
 from tidemark.llm.tokens import ids_of
 from tidemark.session import ship_package
 
@@ -207,10 +207,61 @@ def test_links_of_close_and_crowded_fingerprints(spark, hot):
     assert {frozenset(g) for g in groups.values()} == want
 
 
-def test_similar_documents(docs, none, spark):
-    got = {r.key: r.component for r in simhash.similar_documents(docs).collect()}
-    assert got[40] == got[41] and got[43] == got[44] == got[45] and got[0] == 0
-    assert simhash.similar_documents(none).count() == 0
+def brute_groups(texts, similarity=0.8):
+    sets = [frozenset(simhash.shingle_hashes(t.encode(), 5)) for t in texts]
+    label = list(range(len(sets)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if a == sets[j] or both >= similarity * (len(a) + len(sets[j]) - both) - 1e-9 and both:
+                label[find(i)] = find(j)
+    return {frozenset(i for i in range(len(sets)) if find(i) == k) for k in map(find, range(len(sets)))}
+
+
+def groups_of(frame):
+    out = {}
+    for r in similar.similar_groups(frame).collect():
+        out.setdefault(r.group, set()).add(r.key)
+    return {frozenset(g) for g in out.values()}
+
+
+def test_similar_groups(docs, none, spark):
+    numbered = [(k, r[1], "x", 1, 2, 3) for k, r in enumerate(rows())]
+    frame = spark.createDataFrame(numbered, "doc_id long, text string, row string, `group` int, node int, key int").repartition(3)
+    assert groups_of(frame) == brute_groups([r[1] or "" for r in rows()])
+    assert similar.similar_groups(none).count() == 0
+
+
+def test_similar_groups_around_the_threshold(spark):
+    """Pairs from far below to far above the similarity: every link found is one, and few of those at the very threshold are missed."""
+    ship_package(spark)
+    r, texts = random.Random(3), []
+    for k in range(400):
+        n = 8 + k % 110
+        words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(n)]
+        texts += [" ".join(words), " ".join([*words[: n - r.randint(0, max(1, n // 6))], *[f"new{k}"] * r.randint(0, 3)])]
+    want = brute_groups(texts)
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
+    got = groups_of(frame)
+    pairs = {g for g in want if len(g) > 1}
+    assert {g for g in got if len(g) > 1} <= pairs and len(got & pairs) >= 0.985 * len(pairs) > 150
+
+
+def test_similar_edges_miss_nothing():
+    r = np.random.default_rng(8)
+    sets = []
+    for _ in range(6):
+        base = r.integers(0, 1 << 60, 80, dtype=np.uint64)
+        sets += [np.unique(np.where(r.random(80) < r.choice([0.02, 0.05, 0.1, 0.2]), r.integers(0, 1 << 60, 80, dtype=np.uint64), base)) for _ in range(60)]
+    alike = np.array([[len(np.intersect1d(a, b)) / len(np.union1d(a, b)) >= 0.8 - 1e-9 for b in sets] for a in sets])
+    a, b = similar.similar_edges(sets, 0.8)
+    assert alike[a, b].all() and (simhash.forest(len(sets), a, b) == simhash.forest(len(sets), *np.nonzero(alike))).all()
 
 
 def test_near_edges_miss_nothing():
@@ -219,22 +270,25 @@ def test_near_edges_miss_nothing():
     bits = np.concatenate([b ^ (r.random((120, 512)) < r.choice([0.02, 0.08, 0.1, 0.12], (120, 1))) for b in base])
     wide = np.packbits(bits, axis=1).view("<u8")
     apart = np.bitwise_count(wide[:, None] ^ wide[None]).sum(axis=2)
-    a, b = simhash.near_edges(wide, 85)
+    a, b = similar.near_edges(wide, 85)
     assert (apart[a, b] <= 85).all() and len(a) < 20 * len(wide)
-    assert (simhash.forest(len(wide), a, b) == simhash.forest(len(wide), *np.nonzero(apart <= 85))).all()
+    want = simhash.forest(len(wide), *np.nonzero(apart <= 85))
+    assert (simhash.forest(len(wide), a, b) == want).all()
+    order = np.argsort(simhash.gray_rank(wide[:, 0]))
+    pairs = [np.concatenate(x) for x in zip(*simhash.linked_pairs(wide[order], 85), strict=True)]
+    assert len(pairs[0]) == (np.triu(apart, 1) <= 85).sum() - np.tril(np.ones_like(apart)).sum() and (apart[order[pairs[0]], order[pairs[1]]] <= 85).all()
 
 
 def test_crowded_buckets_lose_no_pair(spark, monkeypatch):
     ship_package(spark)
     r, texts = random.Random(3), []
-    for _ in range(300):
+    for _ in range(150):
         words = ["".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(100)]
-        texts += [" ".join(words), " ".join([*words[:92], *words[:4]])]
+        texts += [" ".join(words), " ".join([*words[:92], *words[:4]]), " ".join([*words[:90], *words[:2]])]
     crowd = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").cache()
-    ordinary = {r.key: r.component for r in simhash.similar_documents(crowd).collect()}
-    monkeypatch.setattr(simhash, "HOT", 4)
-    crowded = {r.key: r.component for r in simhash.similar_documents(crowd).collect()}
-    assert len(ordinary) == len(texts) and len(set(ordinary.values())) < 400 and crowded == ordinary
+    ordinary = groups_of(crowd)
+    monkeypatch.setattr(similar, "HOT", 2)
+    assert groups_of(crowd) == ordinary == brute_groups(texts)
 
 
 def brute_spans(t):

@@ -34,6 +34,18 @@ def test_near_duplicates_of_rows_that_share_an_id(spark):
     assert sorted(map(str, ((r.doc_id, r.text) for r in out))) == sorted(map(str, want))
 
 
+def test_clashing_column_names(spark):
+    text = " ".join(f"word{k}" for k in range(40))
+    rows = [(1, f"{text} password=hunter2secret", "en", 1, 2, 3, 4, 5, 6, 7, 8), (2, text, "en", 1, 2, 3, 4, 5, 6, 7, 8), (3, " ".join(f"other{k}" for k in range(60)), "en", 1, 2, 3, 4, 5, 6, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, pred int, score int, ambiguous int, key int, row int, owner int, at int, node int")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        docs = corpus_pipeline.staged(out)[0]
+    kept = sorted(tuple(r)[3:] for r in docs.collect())
+    assert kept == [(1, 2, 3, 4, 5, 6, 7, 8)] * 2 and stage is not None
+
+
 def test_whole_table(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset"} <= set(out.columns) and out.count() > 150
