@@ -6,10 +6,11 @@ LANE-th id, and where the block stands. Blocks are of whole documents in ascendi
 all lanes of a block step together through one table that the next BITS bits index. Blocks are written by Spark's own
 Parquet writer, so that any store will do and a task that is lost or runs twice leaves one copy.
 
-Global order takes no global sort: doc_id ranges (quantiles of the id column) are dealt to tasks, each sorts its own.
+Global order is that of a range partitioning of the texts by (doc_id, digest of the text), so that even rows of one doc_id are
+dealt to many tasks; each task sorts, encodes and numbers its own range.
 
 Defined cases: null or empty text is the end id alone; a null doc_id comes first; rows that share a doc_id follow one
-another, by their ids; further columns are ignored; an empty table writes no blocks and reads back as no rows.
+another, by a digest of their texts; further columns are ignored; an empty table writes no blocks and reads back as no rows.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ from .tokens import ids_of
 BITS = 20
 #: Ids between checkpoints, and ids after which a block ends with its document.
 LANE, BLOCK = 64, 1 << 18
-#: Bytes of text in a range of doc_ids, about, and most ranges.
-RANGE, MOST_RANGES = 16 << 20, 1 << 16
+#: Bytes of text in a range, about, and most ranges.
+RANGE, MOST_RANGES = 8 << 20, 1 << 16
 
 
 # ---------------------------------------------------------------- codes
@@ -126,22 +128,21 @@ def pack_bits(codes: np.ndarray, bits: np.ndarray) -> tuple[bytes, np.ndarray]:
 def _staged_ids(docs: DataFrame, vocabulary_path: str, end_id: int) -> tuple[DataFrame, str]:
     """range, doc_id, ids (unsigned 16 or 32 bits), each range in one file in ascending order."""
     n = min(MOST_RANGES, 1 + text_bytes(docs) // RANGE)
-    cuts = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10 * n)).first()[0] if n > 1 else []
-    bounds = np.unique(np.array(cuts or [], np.int64))
+    order = ["doc_id", "digest"]
 
     def run(batches):
+        range_ = TaskContext.get().partitionId()
         encode = ids_of(vocabulary_path)
         kind = "<u2" if encode.size <= 1 << 16 else "<u4"
         for batch in batches:
             _, offsets = utf8(batch.column("text"))
-            ranges = np.searchsorted(bounds, ids(batch.column("doc_id")), "right").astype(np.int32)
             texts = batch.column("text").fill_null("")
             for a, b in chunks(offsets):
                 packed = [np.append(encode(t), np.uint32(end_id)).astype(kind).tobytes() for t in texts.slice(a, b - a).to_pylist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ranges[a:b]), batch.column("doc_id").slice(a, b - a), pa.array(packed, pa.binary())], ["range", "doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b - a, range_, np.int32)), batch.column("doc_id").slice(a, b - a), pa.array(packed, pa.binary())], ["range", "doc_id", "ids"])
 
-    made = docs.mapInArrow(run, "range int, doc_id long, ids binary")
-    return staged(made.repartition(len(bounds) + 1, "range").sortWithinPartitions("range", "doc_id", "ids"))
+    dealt = docs.withColumn("digest", F.xxhash64("text")).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    return staged(dealt.select("doc_id", "text").mapInArrow(run, "range int, doc_id long, ids binary"))
 
 
 def _counts(stage: DataFrame, size: int) -> np.ndarray:
