@@ -164,6 +164,20 @@ def digests(data: bytes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray
     return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
 
 
+def least_of(values: np.ndarray, width: int) -> np.ndarray:
+    """Minimum of values[i : i + width] for every i that has them all (two running minima, one from each block's ends)."""
+    n = len(values) - width + 1
+    if n <= 0:
+        return values[:0]
+    blocks = -(-len(values) // width)
+    padded = np.full(blocks * width, np.iinfo(values.dtype).max, values.dtype)
+    padded[: len(values)] = values
+    grid = padded.reshape(blocks, width)
+    ahead = np.minimum.accumulate(grid, axis=1).ravel()
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
+
+
 class Poly:
     """Polynomial hashes modulo 2**64: a random 64-bit value per byte, an odd base.
 
@@ -231,13 +245,22 @@ class Words:
             longest = int(size.max())
             self.hash = fmix(np.add.reduceat(poly.bytes[byte] * poly.up(longest)[local], edge) + size.astype(_U64))
 
-    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
-        """(index of the first word, hash for sketches) of every run of length words that stays in one document."""
+    def cores(self, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the first word, number of the core, hashes of the cores) of every run of length words.
+
+        A run's core begins where the least word hash of its first half stands (leftmost on ties) and is as long as the rest
+        of the run allows anywhere: equal runs have equal cores, at places of their own, and neighbours share theirs.
+        """
+        reach = max(1, length // 2)
         n = len(self.start)
         if n < length:
-            return np.zeros(0, np.int64), np.zeros(0, _U64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U64)
         at = np.flatnonzero(self.doc[length - 1 :] == self.doc[: n - length + 1])
-        return at, self.poly.spans(self.poly.prefix(self.hash), at, at + length)
+        rank = fmix(self.hash) & _U64(0xFFFFFFFF00000000) | np.arange(n, dtype=_U64)
+        place = (least_of(rank, reach)[at] & _U64(0xFFFFFFFF)).astype(np.int64)
+        new = np.append(True, place[1:] != place[:-1])[: len(place)]
+        place = place[new]
+        return at, np.cumsum(new) - 1, self.poly.spans(self.poly.prefix(self.hash), place, place + length - reach + 1)
 
     def digests(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
         """Digests of the runs of length words from each of at on: of the words joined by one space, so of the words themselves."""

@@ -1,6 +1,7 @@
 """Removal of repeated passages, by word windows, with a count-min prefilter.
 
-1. Every partition sketches its windows; the merged sketch overestimates how often a window occurs (llm/sketch.py).
+1. Every partition sketches the cores of its windows: a few words that all windows around them share, the same for equal
+   windows. The merged sketch overestimates how often a core, and so a window, occurs (llm/sketch.py).
 2. Only windows estimated repeated are grouped, by a 128-bit BLAKE2b digest of their words: the first occurrence by
    (doc_id, start) owns the window. A partition sends each window once, its own first, so a window that is in a
    third of all documents costs a row per partition, not per document.
@@ -74,8 +75,8 @@ def owners(docs: DataFrame, repeated, window: int, shards: int) -> DataFrame:
             return _split((columns[0] % np.uint64(shards)).astype(np.int64), columns, _PART_ARROW)
 
         for words, doc_ids, _ in _runs(batches):
-            at, key = words.windows(window)
-            at = at[repeated.value.may_repeat(key)]
+            at, core, key = words.cores(window)
+            at = at[repeated.value.may_repeat(key)[core]]
             doc = words.doc[at]
             held.append((*words.digests(at, window), doc_ids[doc], (at - words.begin[doc]).astype(np.int32)))
             n += len(at)
@@ -119,9 +120,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: bool = False) -
 
     def keys(batches):
         for words, _, _ in _runs(batches):
-            yield words.windows(window)[1]
+            yield words.cores(window)[2]
 
-    repeated = sketch.merged(docs.select("key", "text"), keys, sketch.width(size // 6))
+    repeated = sketch.merged(docs.select("key", "text"), keys, sketch.width(size // (2 * window)))
     owned = owners(docs.select("key", "text"), repeated, window, shard_count(size))
     joined = docs.join(owned, F.col("key") == F.col("owner"), "left").select("doc_id", "key", "text", "at", "row")
 
@@ -132,9 +133,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, carry: bool = False) -
             owner_data, owner_offsets = utf8(batch.column("at"))
             for words, _, a in _runs(iter([batch])):
                 n, docs_here = len(words.start), words.n_docs
-                at, key = words.windows(window)
+                at, core, key = words.cores(window)
                 gone = np.zeros(n + 1, bool)
-                gone[at[repeated.value.may_repeat(key)]] = True
+                gone[at[repeated.value.may_repeat(key)[core]]] = True
                 part = owner_offsets[a : a + docs_here + 1]
                 starts = owner_data[part[0] : part[-1]].view(np.int32).astype(np.int64)
                 gone[starts + np.repeat(words.begin[:-1], np.diff(part) // 4)] = False

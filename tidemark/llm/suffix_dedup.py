@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import sketch
-from .common import POLY, chunks, digests, drop_stage, fmix, ids, keyed, shard_count, staged, text_bytes, utf8
+from .common import POLY, chunks, digests, drop_stage, fmix, ids, keyed, least_of, shard_count, staged, text_bytes, utf8
 
 MATCH = 400
 #: Positions of which a string's anchor is chosen: places that an anchor can have in a string.
@@ -44,20 +44,6 @@ _SENT = "kind int, shard int, high binary, low binary, doc binary, at binary, tw
 _MARKED = "kind int, bucket int, doc binary, at binary"
 
 
-def least_of(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of values[i : i + width] for every i that has them all (two running minima, one from each block's ends)."""
-    n = len(values) - width + 1
-    if n <= 0:
-        return values[:0]
-    blocks = -(-len(values) // width)
-    padded = np.full(blocks * width, np.iinfo(values.dtype).max, values.dtype)
-    padded[: len(values)] = values
-    grid = padded.reshape(blocks, width)
-    ahead = np.minimum.accumulate(grid, axis=1).ravel()
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(behind[:n], ahead[width - 1 : width - 1 + n])
-
-
 class Anchors:
     """Strings of length MATCH of a run of documents: where each starts, and the anchor that it belongs to."""
 
