@@ -3,7 +3,7 @@
 The tree is fitted on a sample of at most SAMPLE vectors; every row is put into one of its leaves. A query walks the tree
 with a priority queue by distance to the centres, which gives an order of leaves; how many of them it visits is calibrated:
 for a set of queries the true neighbours are found by one brute-force pass, and the number of leaves is widened until
-TARGET of them lie in leaves visited. Leaf and query rows then meet by leaf; a leaf that holds many rows is cut into
+TARGET of them lie in leaves visited; a query goes on beyond that while its leaves hold too few rows. Leaf and query rows then meet by leaf; a leaf that holds many rows is cut into
 chunks that every query of the leaf visits. Scores are exact Euclidean distances on the vectors as given.
 
 Bounds: SAMPLE vectors and at most SAMPLE / 16 centres on the driver and in the broadcast. Beyond LEAF * SAMPLE / 16 rows
@@ -24,13 +24,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import staged
-from .vectors import best, matrix, top, usable
+from .vectors import best, matrix, sampled, top, usable
 
 SAMPLE = 40_000
 #: Rows of a leaf, about; children of a node; rounds of Lloyd's iteration.
 LEAF, BRANCH, ROUNDS = 256, 8, 6
 #: Rows of a leaf that one task scores at once.
 CHUNK = 2048
+#: A walk goes on until its leaves hold this many times the rows asked for (distinct ids in a leaf are counted roughly).
+ENOUGH = 2
 #: Queries used to calibrate, and the share of true neighbours to be reached on them.
 PROBES, TARGET = 64, 0.97
 
@@ -92,29 +94,23 @@ class KMeansTree:
             todo += [(int(c), rows[part == k]) for k, c in enumerate(own)]
         return out
 
-    def order(self, q: np.ndarray, visits: int) -> list[int]:
-        """The first leaves of the best-bin-first walk."""
+    def order(self, q: np.ndarray, visits: int, sizes: np.ndarray | None = None, least: int = 0) -> list[int]:
+        """The first leaves of the best-bin-first walk: visits of them, and on until they hold `least` rows of sizes."""
         near = ((self.centres - q) ** 2).sum(axis=1)
-        heap, out = [(float(near[0]), 0)], []
-        while heap and len(out) < visits:
+        heap, out, held = [(float(near[0]), 0)], [], 0
+        while heap and (len(out) < visits or held < least):
             _, node = heapq.heappop(heap)
             if node in self.leaf:
                 out.append(self.leaf[node])
+                held += 0 if sizes is None else int(sizes[out[-1]])
             for c in self.children[node]:
                 heapq.heappush(heap, (float(near[c]), c))
         return out
 
 
-def _sampled(rows: DataFrame, n: int, most: int) -> DataFrame:
-    """A fixed pseudo-random choice of about min(n, most) rows, most at the limit."""
-    if n <= most:
-        return rows
-    return rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(most)
-
-
 def _calibrated(rows: DataFrame, queries: DataFrame, n_queries: int, tree, k: int, d: int) -> int:
     """Leaves to visit so that TARGET of the probes' true neighbours are seen."""
-    probes = _sampled(queries, n_queries, PROBES).toArrow()
+    probes = sampled(queries, n_queries, PROBES).toArrow()
     ids, x = probes["vec_id"].to_numpy(), matrix(probes["vec"], d)
 
     def scan(batches):
@@ -147,7 +143,7 @@ def nearest(df: DataFrame, column: str, query_where: str, k: int) -> DataFrame:
     spark = df.sparkSession
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    sample = matrix(_sampled(rows, n, SAMPLE).select("vec").toArrow()["vec"], d)
+    sample = matrix(sampled(rows, n, SAMPLE).select("vec").toArrow()["vec"], d)
     tree = spark.sparkContext.broadcast(KMeansTree(sample, max(1, min(n // LEAF, len(sample) // 16))))
     queries = rows.where(query_where).dropDuplicates(["vec_id"])
     n_queries = queries.count()
@@ -162,18 +158,23 @@ def nearest(df: DataFrame, column: str, query_where: str, k: int) -> DataFrame:
 
     vec = rows.schema["vec"].dataType.simpleString()
     indexed, _ = staged(rows.mapInArrow(put, f"leaf int, vec_id long, vec {vec}"))
-    sizes = {r["leaf"]: r["count"] for r in indexed.groupBy("leaf").count().collect()}  # at most SAMPLE / 16 leaves
-    parts = spark.sparkContext.broadcast({leaf: -(-c // CHUNK) for leaf, c in sizes.items()})
-    n_parts = F.create_map(*[F.lit(x) for pair in parts.value.items() for x in pair]) if max(parts.value.values()) > 1 else None
-    dealt = indexed.withColumn("part", F.lit(0) if n_parts is None else F.pmod(F.xxhash64("vec_id"), F.element_at(n_parts, F.col("leaf"))).cast("int"))
+    counts, kinds = np.zeros(len(tree.value.leaf), np.int64), np.zeros(len(tree.value.leaf), np.int64)
+    for r in indexed.groupBy("leaf").agg(F.count("*").alias("n"), F.approx_count_distinct("vec_id").alias("ids")).collect():  # at most SAMPLE / 16 leaves
+        counts[r["leaf"]], kinds[r["leaf"]] = r["n"], r["ids"]
+    sizes = spark.sparkContext.broadcast((-(-counts // CHUNK), kinds))
+    dealt = indexed.withColumn("part", F.lit(0))
+    if counts.max() > CHUNK:
+        many = spark.createDataFrame([(int(leaf), int(-(-c // CHUNK))) for leaf, c in enumerate(counts) if c > CHUNK], "leaf int, parts int")
+        split = F.pmod(F.xxhash64("vec_id"), F.coalesce("parts", F.lit(1))).cast("int")
+        dealt = indexed.join(F.broadcast(many), "leaf", "left").select(*indexed.columns, split.alias("part"))
 
     def visit(batches):
         for batch in batches:
             x = matrix(batch.column("vec"), d)
             row, leaf, part = [], [], []
             for r in range(len(x)):
-                for k_ in tree.value.order(x[r], visits):
-                    for p in range(parts.value.get(k_, 0)):
+                for k_ in tree.value.order(x[r], visits, sizes.value[1], ENOUGH * (k + 1)):
+                    for p in range(int(sizes.value[0][k_])):
                         row.append(r)
                         leaf.append(k_)
                         part.append(p)

@@ -21,6 +21,13 @@ def usable(df: DataFrame, column: str, zero: bool) -> tuple[DataFrame, int, int]
     return rows.where(F.size("vec") == sizes[0]["d"]), sizes[0]["count"], sizes[0]["d"]
 
 
+def sampled(rows: DataFrame, n: int, most: int) -> DataFrame:
+    """A fixed pseudo-random choice of about min(n, most) rows, most at the limit."""
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) < int((1 << 30) * most / n)).limit(most)
+
+
 def matrix(column: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
