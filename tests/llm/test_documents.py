@@ -456,13 +456,92 @@ def test_language_accuracy(spark):
     assert sum(r.lang_pred == lang[r.doc_id] for r in held) >= 0.97 * len(held)
 
 
-def test_digest_queries(spark):
+def plain_columns(spark, name):
     from tidemark.llm import queries
 
     from ..conftest import SF
 
-    out = queries.op8_secrets(spark, SF)
-    assert out.where(f"base_sha256 = '{hashlib.sha256(b'').hexdigest()}' and n_assign + n_access + n_hex > 0").count() == 0
-    for name, f in queries.queries().items():
-        if name not in ("op1_nearest", "op9_top_k", "op4_best_fit"):
-            assert f(spark, SF).count() == 200, name
+    frame = queries.queries()[name](spark, SF)
+    return {r[0]: r for r in frame.collect()} if name != "op4_best_fit" else frame.collect()
+
+
+def sha(x):
+    return hashlib.sha256(x.encode() if isinstance(x, str) else x).hexdigest()
+
+
+@pytest.fixture(scope="module")
+def small(spark):
+    from ..conftest import SF
+
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
+
+
+def test_query_columns_of_tokens(spark, small):
+    """The columns of op2, op4 and op10 on a whole table, from the tokenizers library."""
+    t = Tokenizer.from_file(PATH)
+    ids = {i: t.encode(s, add_special_tokens=False).ids for i, s in small.items()}
+    packed = lambda x: np.array(x, "<u4").tobytes()
+    got = plain_columns(spark, "op2_bpe")
+    assert {i: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for i, r in got.items()} == {i: (len(x), sha(",".join(map(str, x))), sha(t.decode(x, skip_special_tokens=False))) for i, x in ids.items()}
+    want, at = {}, 0
+    for i in sorted(ids):
+        want[i] = (at, len(ids[i]) + 1, zlib.crc32(packed([*ids[i], 2])))
+        at += len(ids[i]) + 1
+    assert {i: (r.start, r.n_tokens, r.ids_crc32) for i, r in plain_columns(spark, "op10_token_files").items()} == want
+    pieces, sequences = {}, {}
+    for r in plain_columns(spark, "op4_best_fit"):
+        pieces.setdefault(r.doc_id, []).append((r.piece, r.start, r.length, r.ids_crc32))
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for i, x in ids.items():
+        whole, at, to, own = [*x, 2], 0, len(x) % 1024 + 1, []
+        while at < len(whole):
+            own.append((len(own), at, to - at, zlib.crc32(packed(whole[at:to]))))
+            at, to = to, to + 1024
+        assert sorted(pieces[i]) == own
+    for s in sequences.values():
+        s.sort()
+        assert [o for o, _ in s] == [sum(n for _, n in s[:k]) for k in range(len(s))] and sum(n for _, n in s) <= 1024
+
+
+def test_query_columns_of_repeats(spark, small):
+    """The columns of op3 and op5 on a whole table, by brute force."""
+    seen, want = {}, {}
+    for i in sorted(small):
+        w = re.findall(r"[^\x20\x09-\x0D]+", small[i])
+        gone = [False] * len(w)
+        for p in range(len(w) - 19):
+            if seen.setdefault(tuple(w[p : p + 20]), (i, p)) != (i, p):
+                gone[p : p + 20] = [True] * 20
+        want[i] = (len(w), sum(gone), sha(" ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    assert {i: (r.n_words, r.n_removed, r.kept_sha256) for i, r in plain_columns(spark, "op3_substring_dedup").items()} == want
+    first, twice, raw = {}, set(), {i: s.encode() for i, s in small.items()}
+    for i, b in raw.items():
+        for p in range(len(b) - 399):
+            h = hash(b[p : p + 400])
+            if first.setdefault(h, (i, p)) != (i, p):
+                twice.add(h)
+    want = {}
+    for i, b in raw.items():
+        edge = np.zeros(len(b) + 1, int)
+        for p in range(len(b) - 399):
+            if hash(b[p : p + 400]) in twice:
+                edge[p] += 1
+                edge[p + 400] -= 1
+        gone = np.cumsum(edge)[: len(b)] > 0
+        spans = int((gone & np.append(True, ~gone[:-1])[: len(gone)]).sum())
+        want[i] = (len(b), int(gone.sum()), spans, sha(np.frombuffer(b, np.uint8)[~gone].tobytes()))
+    assert {i: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for i, r in plain_columns(spark, "op5_suffix_dedup").items()} == want
+
+
+def test_query_columns_of_fingerprints_and_secrets(spark, small):
+    got = plain_columns(spark, "op7_simhash")
+    assert {i: r.fingerprint for i, r in got.items()} == {i: f"{brute_fingerprint(s):016x}" for i, s in small.items()}
+    kinds = ("assign", "access", "hex")
+    for i, r in plain_columns(spark, "op8_secrets").items():
+        b = small[i].encode()
+        point = lambda x: len(b[:x].decode())  # noqa: E731, B023
+        spans = [f"{kinds[k]}:{point(s)}:{point(e)}" for s, k, e in brute_spans(b)]
+        assert (r.n_assign, r.n_access, r.n_hex, r.base_sha256) == (*(sum(x.startswith(f"{k}:") for x in spans) for k in kinds), sha(",".join(spans)))
+        assert set(spans) <= set(r.spans.split(",")) | {""}
+    got = plain_columns(spark, "op6_language")
+    assert len(got) == len(small) and all(0 <= r.score <= 1 for r in got.values())

@@ -43,6 +43,26 @@ def test_top_inner_products(spark):
     assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("shard", [40, 300])
+def test_top_inner_products_over_rounds(spark, monkeypatch, shard):
+    ship_package(spark)
+    monkeypatch.setattr(topk, "SHARD", shard)
+    monkeypatch.setattr(topk, "PART", 70)
+    test_top_inner_products(spark)
+
+
+def test_nearest_with_tiny_leaves(spark, monkeypatch):
+    """A single visit asked for, leaves of a few rows: every query still gets its ten."""
+    ship_package(spark)
+    monkeypatch.setattr(ann, "LEAF", 4)
+    monkeypatch.setattr(ann, "_calibrated", lambda *a: 1)
+    df = spark.createDataFrame(rows(), SCHEMA).repartition(3)
+    counts = {}
+    for r in ann.nearest(df, "embedding", "vec_id % 100 = 0", 10).collect():
+        counts[r.query_id] = counts.get(r.query_id, 0) + 1
+    assert set(counts.values()) == {10} and len(counts) == len([i for i in usable(False) if i % 100 == 0])
+
+
 def test_nearest(spark):
     ship_package(spark)
     df = spark.createDataFrame(rows(), SCHEMA).repartition(3)
