@@ -7,8 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from tidemark.plans import more  # noqa: F401
 from tidemark.functions import text
-from tidemark.operators import batching, chunks, control, keyset, replay
+from tidemark.operators import batching, changelog, chunks, control, keyset, replay, tasks
 from tidemark.plans.queries import ORACLES, QUERIES
 from tidemark.sources.published import PublishedTable
 from tidemark.sources.tables import json_lines
@@ -69,6 +70,76 @@ def test_bag_replay(spark):
     assert {x.key: x.n for x in got.collect()} == {k: v for k, v in n.items() if v}
 
 
+def test_bag_replay_with_updates_and_nulls(spark):
+    r = random.Random(12)
+    value = lambda: r.choice([0, 1, 2, None])
+    log = [(k, r.choice(["INSERT", "UPDATE", "DELETE"]), value(), "x", value(), "x") for k in range(300)]
+    n = {(0, "x"): 2, (None, "x"): 1}
+    for _, op, new, t, old, u in log:
+        gone = (new, t) if op == "DELETE" else (old, u) if op == "UPDATE" else None
+        if gone is not None:
+            if None in gone or not n.get(gone):
+                continue
+            n[gone] -= 1
+        if op != "DELETE":
+            n[new, t] = n.get((new, t), 0) + 1
+    frame = spark.createDataFrame(log, "ord long, op string, a int, b string, old_a int, old_b string")
+    base = spark.createDataFrame([(0, "x", 2), (None, "x", 1)], "a int, b string, n int")
+    assert {(x.a, x.b): x.n for x in replay.bag_folded(frame, base, ["a", "b"]).collect()} == {k: v for k, v in n.items() if v}
+    plain = [x for x in log if x[1] != "UPDATE"]
+    n = {(0, "x"): 2, (None, "x"): 1}
+    for _, op, new, t, *_ in plain:
+        if op == "INSERT":
+            n[new, t] = n.get((new, t), 0) + 1
+        elif new is not None and n.get((new, t)):
+            n[new, t] -= 1
+    got = replay.bag(spark.createDataFrame(plain, frame.schema), base, ["a", "b"])
+    assert {(x.a, x.b): x.n for x in got.collect()} == {k: v for k, v in n.items() if v}
+
+
+def test_partial_images_and_drift_with_nulls(spark):
+    log = spark.createDataFrame([(1, "k", 2.0, ["v"]), (2, "k", None, ["v"]), (3, "k", 9.0, [])], "event_id int, key string, v double, present array<string>")
+    assert [r.v for r in replay.latest_fields(log, "key", ["v"]).collect()] == [None]
+    source = spark.createDataFrame([(1, None), (2, 5.0), (3, None), (4, 1.0)], "k int, v double")
+    target = spark.createDataFrame([(1, None), (2, None), (5, None), (4, 1.0)], "k int, v double")
+    assert sorted((r.k, r.kind) for r in replay.drift(source, target, "k", "v").collect()) == [(2, "different"), (3, "missing"), (5, "extra")]
+
+
+def test_events_without_rows_are_an_error(spark):
+    frame = spark.createDataFrame([(1, "INSERT", [5]), (2, "DELETE", [])], "txn int, op string, images array<bigint>")
+    with pytest.raises(Exception, match="DELETE event without rows"):
+        changelog.exploded(frame).collect()
+
+
+def test_nested_details_are_masked(spark):
+    frame = spark.sql("SELECT named_struct('Token', 'x', 'note', 'pwd: a b', 'more', array(named_struct('dsn', 'y', 'n', 1)), 'said', array('Bearer q'), 'opts', map('SECRET', 'z', 'host', 'h')) AS d")
+    got = frame.select(text.masked(F.col("d"), frame.schema["d"].dataType).alias("d")).first().d
+    assert got.Token == "[REDACTED]" and got.note == "pwd=[REDACTED] b" and got.more[0].dsn == "[REDACTED]" and got.more[0].n == 1
+    assert got.said == ["Bearer [REDACTED]"] and got.opts == {"SECRET": "[REDACTED]", "host": "h"}
+
+
+def test_schedules_against_every_minute(spark):
+    import datetime as dt
+
+    start = dt.datetime(2024, 2, 26, 23, 58, 30)
+    for said, fits in (
+        ("5,35 */6 * * *", lambda t: t.minute in (5, 35) and t.hour % 6 == 0),
+        ("0 12 29 feb ?", lambda t: (t.month, t.day, t.hour, t.minute) == (2, 29, 12, 0)),
+        ("10-20/5 8 1 * mon", lambda t: t.minute in (10, 15, 20) and t.hour == 8 and (t.day == 1 or t.weekday() == 0)),
+        ("@monthly", lambda t: (t.day, t.hour, t.minute) == (1, 0, 0)),
+    ):
+        nows = [start + dt.timedelta(minutes=97 * k) for k in range(40)]
+        want = []
+        for now in nows:
+            t = now.replace(second=0) + dt.timedelta(minutes=1)
+            while not fits(t) and t < now + dt.timedelta(days=40):
+                t += dt.timedelta(minutes=1)
+            want.append(t)
+        frame = spark.createDataFrame(list(enumerate(nows)), "k int, now timestamp_ntz")
+        got = [r.run for r in frame.select("k", tasks.next_cron(F.col("now"), said).alias("run")).orderBy("k").collect()]
+        assert [(a if b < n + dt.timedelta(days=40) else None) for a, b, n in zip(got, want, nows, strict=True)] == [(b if b < n + dt.timedelta(days=40) else None) for b, n in zip(want, nows, strict=True)]
+
+
 def test_stream_is_batch_once(spark, tmp_path):
     log = random_log(3)
     path = f"file://{tmp_path}"
@@ -185,7 +256,7 @@ def plain(v):
     return str(v) if v is not None and not isinstance(v, (int, str, bool)) else v
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, duck, name):
     frame = QUERIES[name](spark, SF)
     result = duck.execute(ORACLES[name])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import service  # noqa: F401  (adds its queries)
+from .plans import more, service  # noqa: F401  (add their queries)
 from .plans.queries import ORACLES, QUERIES, flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]

@@ -2,21 +2,36 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StringType, StructType
 
-#: What redaction looks for, in this order, and keys whose values are hidden.
+#: What redaction looks for and puts there, in this order. White space is that of the patterns' own language,
+#: which has no vertical tab; letters match in either case, also beyond ASCII.
 REDACTIONS = (
-    (r"(?i)(authorization\s*[:=]\s*bearer\s+)\S+", "$1******"),
-    (r"(?i)((?:password|passwd|pwd|secret|token|api_key)\s*[:=]\s*)[^\s,;&]+", "$1******"),
-    (r"(?i)(bearer\s+)[A-Za-z0-9._-]+", "$1******"),
-    (r"ENC~[A-Za-z0-9+/=]+", "ENC~******"),
+    (r"(?i)(authorization)\s*[:=]\s*Bearer\s+\S+", "$1=Bearer [REDACTED]"),
+    (r"(?i)(password|passwd|pwd|secret|token|dsn)\s*[:=]\s*[^\s,;'\"]+", "$1=[REDACTED]"),
+    (r"(?i)Bearer\s+\S+", "Bearer [REDACTED]"),
+    (r"ENC~[A-Za-z0-9+/=_-]+", "ENC~[REDACTED]"),
 )
-SENSITIVE_KEYS = ("password", "passwd", "pwd", "secret", "token", "api_key", "authorization", "sasl_password")
-RETRYABLE = ("deadlock", "lock wait timeout", "connection reset", "broken pipe", "bad connection", "i/o timeout", "too many connections")
-MASK = "******"
+#: Keys whose values are hidden in the details of events, and what stands instead.
+SENSITIVE_KEYS = ("password", "passwd", "pwd", "secret", "token", "authorization", "dsn", "connection_string")
+HIDDEN = "[REDACTED]"
+#: What tells errors that may be tried again, by what was done.
+RETRYABLE = {
+    "read": ("invalid connection", "bad connection", "connection refused", "broken pipe", "connection reset", "connection was bad", "lock wait timeout", "try restarting transaction", "server shutdown", "lost connection", "unexpected eof", "unexpected packet"),
+    "write": ("deadlock", "lock wait timeout", "try restarting transaction"),
+    "connection": ("invalid connection", "bad connection", "unexpected packet", "connection was bad", "connection refused", "broken pipe", "connection reset"),
+    "cursor": ("invalid connection", "bad connection", "unexpected packet", "connection was bad"),
+}
+#: The same for locks of index builds, upper and lower case told apart.
+RETRYABLE_LOCKS = ("Error 1205", "Error 1213", "Lock wait timeout", "Deadlock found")
+#: Sink options that hold secrets, and what an answer shows instead.
+SECRET_OPTIONS, MASK = ("sasl_password",), "******"
 #: Names of locks and staging tables, and the longest name.
-LOCK_PREFIX, STAGING_PREFIX, LONGEST_NAME = "mts_fl_v2:", "__mts_staging_", 64
+LOCK_PREFIX, STAGING_PREFIX, SHORT_STAGING_PREFIX, LONGEST_NAME = "mts_fl_v2:", "__mts_staging_", "__mts_s_", 64
 
 
 def quoted(name: Column) -> Column:
@@ -25,13 +40,28 @@ def quoted(name: Column) -> Column:
 
 def redacted(text: Column) -> Column:
     for pattern, new in REDACTIONS:
-        text = F.regexp_replace(text, pattern, new)
+        java = pattern.replace("(?i)", "(?iu)").replace(r"[^\s,", r"[^\t\n\f\r ,").replace(r"\s", r"[\t\n\f\r ]").replace(r"\S", r"[^\t\n\f\r ]")
+        text = F.regexp_replace(text, java, new)
     return text
 
 
-def masked(options: Column) -> Column:
-    """A map with the values of sensitive keys hidden."""
-    return F.transform_values(options, lambda k, v: F.when(F.lower(k).isin(*SENSITIVE_KEYS), MASK).otherwise(v))
+def masked(value: Column, kind: DataType) -> Column:
+    """Details of an event, of any nesting of structs, maps and arrays, without secrets: values of sensitive keys hidden, all
+    other text redacted. Elements of arrays are redacted if they are text and searched if they have keys."""
+    if isinstance(kind, StructType):
+        out = F.struct(*[(F.lit(HIDDEN) if f.name.lower() in SENSITIVE_KEYS else masked(value[f.name], f.dataType)).alias(f.name) for f in kind.fields])
+        return F.when(value.isNotNull(), out)
+    if isinstance(kind, MapType):
+        hide = lambda k, v: masked(v, kind.valueType) if not isinstance(kind.valueType, StringType) else F.when(F.lower(k).isin(*SENSITIVE_KEYS), HIDDEN).otherwise(redacted(v))
+        return F.transform_values(value, hide)
+    if isinstance(kind, ArrayType) and not isinstance(kind.elementType, ArrayType):
+        return F.transform(value, lambda x: masked(x, kind.elementType))
+    return redacted(value) if isinstance(kind, StringType) else value
+
+
+def shown_options(options: Column) -> Column:
+    """A map of sink options as an answer shows it."""
+    return F.transform_values(options, lambda k, v: F.when(k.isin(*SECRET_OPTIONS) & (v != ""), MASK).otherwise(v))
 
 
 def lock_name(schema: Column, prefix: str = LOCK_PREFIX, most: int = LONGEST_NAME) -> Column:
@@ -40,16 +70,40 @@ def lock_name(schema: Column, prefix: str = LOCK_PREFIX, most: int = LONGEST_NAM
 
 
 def staging_name(table_name: Column, attempt: Column, most: int = LONGEST_NAME) -> Column:
+    """Lengths are in bytes; a name that is too long gives way to 8 bytes of its SHA-256 under a prefix of its own."""
     name = F.concat(F.lit(STAGING_PREFIX), table_name, F.lit("_"), attempt.cast("string"))
-    return F.when(F.length(name) <= most, name).otherwise(F.concat(F.lit(STAGING_PREFIX), F.substring(F.sha2(table_name.cast("binary"), 256), 1, 24), F.lit("_"), attempt.cast("string")))
+    short = F.concat(F.lit(SHORT_STAGING_PREFIX), F.substring(F.sha2(table_name.cast("binary"), 256), 1, 16), F.lit("_"), attempt.cast("string"))
+    return F.when(F.octet_length(name) <= most, name).otherwise(short)
+
+
+def _contains_any(text: Column, parts: tuple[str, ...]) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(x) for x in parts])
+
+
+def retryable(message: Column, doing: str = "read") -> Column:
+    return _contains_any(F.lower(message), RETRYABLE[doing])
+
+
+def retryable_lock(message: Column) -> Column:
+    return _contains_any(message, RETRYABLE_LOCKS)
+
+
+def key_text(value: Column) -> Column:
+    """A key's value as text; null is empty."""
+    return F.coalesce(value.cast("string"), F.lit(""))
+
+
+def index_columns(columns: Column) -> Column:
+    """Names in a list of index parts: what stands between backquotes, else what stands before a bracket."""
+    parts = F.filter(F.transform(F.split(columns, ","), lambda p: F.trim(p)), lambda p: p != "")
+    plain = lambda p: F.trim(F.substring_index(p, "(", 1))
+    return F.transform(parts, lambda p: F.when(p.rlike("`[^`]*`"), F.regexp_extract(p, "`([^`]*)`", 1)).otherwise(plain(p)))
 
 
-def retryable(message: Column) -> Column:
-    low = F.lower(message)
-    out = F.lit(False)
-    for part in RETRYABLE:
-        out = out | low.contains(part)
-    return out
+def same_columns(columns: Column, wanted: Column) -> Column:
+    """Whether the index parts are these columns in this order, in either case; no columns wanted match nothing."""
+    low = lambda names: F.transform(names, F.lower)
+    return (F.size(wanted) > 0) & (low(index_columns(columns)) == low(wanted))
 
 
 def backoff(attempt: Column, base_ms: float, factor: float, most_ms: float) -> Column:

@@ -45,7 +45,9 @@ def is_int_type(data_type: Column) -> Column:
 
 
 def is_wide_type(data_type: Column) -> Column:
-    return F.lower(F.trim(data_type)).isin(*WIDE_TYPES)
+    """Parameters in brackets and the suffixes unsigned and zerofill do not matter."""
+    bare = F.substring_index(F.lower(F.trim(data_type)), "(", 1)
+    return F.trim(F.regexp_replace(F.regexp_replace(bare, " unsigned$", ""), " zerofill$", "")).isin(*WIDE_TYPES)
 
 
 def database_pairs(df: DataFrame) -> DataFrame:

@@ -33,10 +33,12 @@ def normalised(log: DataFrame, task_id: str, schema: str, table_name: str) -> Da
 
 
 def exploded(batched: DataFrame) -> DataFrame:
-    """Row events with arrays of images to rows: an UPDATE's images alternate before and after; DELETE holds before images."""
+    """Row events with arrays of images to rows: an UPDATE's images alternate before and after; DELETE holds before images. An
+    event without rows is an error."""
     pairs = F.expr("transform(sequence(0, size(images) div 2 - 1), i -> struct(i as n, images[2 * i] as before, images[2 * i + 1] as after))")
     single = F.expr("transform(images, (x, i) -> struct(i as n, if(op = 'DELETE', x, cast(null as bigint)) as before, if(op = 'INSERT', x, cast(null as bigint)) as after))")
-    rows = batched.where(F.size("images") > 0).withColumn("r", F.explode(F.when(F.col("op") == "UPDATE", pairs).otherwise(single)))
+    some = F.when(F.coalesce(F.size("images"), F.lit(0)) > 0, True).otherwise(F.raise_error(F.concat(F.col("op"), F.lit(" event without rows"))).cast("boolean"))
+    rows = batched.where(some).withColumn("r", F.explode(F.when(F.col("op") == "UPDATE", pairs).otherwise(single)))
     return rows.select("txn", "op", F.col("r.n").cast("long").alias("row_index"), "r.before", "r.after")
 
 
@@ -65,3 +67,45 @@ def server_id(name: Column) -> Column:
     """h = h * 31 + code point, unsigned 32 bits; 0 becomes 1."""
     h = F.aggregate(F.filter(F.split(name, ""), lambda c: c != ""), F.lit(0).cast("bigint"), lambda a, c: (a * 31 + F.ascii(c)) % 4294967296)
     return F.when(h == 0, 1).otherwise(h).cast("bigint")
+
+
+def checkpoints(log: DataFrame, writes: Column) -> DataFrame:
+    """A row a transaction: its commit position, which is saved whether it writes or not, the rows it writes, and whether its
+    sink transaction is dropped because there are none."""
+    rows = F.count(F.when(writes, 1))
+    return log.groupBy("txn").agg(F.max("file").alias("file"), F.max("commit_pos").alias("pos"), rows.alias("n_writes"), (rows == 0).alias("aborted"))
+
+
+def wire(event: DataFrame) -> Column:
+    """The JSON document of a change event, fields in their fixed order: task_id, source_schema, source_table, event_type, event_time,
+    binlog_file, binlog_pos, primary_keys, before and after (left out where absent), trace_id (left out where empty).
+    primary_keys, before and after are structs, written with fields in name order and nulls; <, > and & are escaped."""
+    image = lambda c: F.to_json(F.struct(*[F.col(f"{c}.{f}") for f in sorted(event.schema[c].dataType.names)]), {"ignoreNullFields": "false"})
+
+    def text(c: str) -> Column:
+        """The value as a JSON string: a document of one field without what stands around its value."""
+        document = F.to_json(F.struct(F.coalesce(F.col(c), F.lit("")).alias("x")))
+        return F.substr(document, F.lit(6), F.length(document) - 6)
+
+    part = lambda name, value: F.concat(F.lit(f'"{name}":'), value)
+    parts = [part(c, text(c)) for c in ("task_id", "source_schema", "source_table", "event_type")]
+    stamp = F.date_format("event_time", "yyyy-MM-dd'T'HH:mm:ss")
+    parts += [part("event_time", F.concat(F.lit('"'), stamp, F.lit('Z"'))), part("binlog_file", text("binlog_file")), part("binlog_pos", F.col("binlog_pos").cast("string")), part("primary_keys", image("primary_keys"))]
+    parts += [F.when(F.col(c).isNotNull(), part(c, image(c))) for c in ("before", "after")]
+    parts += [F.when(F.col("trace_id") != "", part("trace_id", text("trace_id")))]
+    out = F.concat(F.lit("{"), F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull()), ","), F.lit("}"))
+    for sign in "<>&":
+        out = F.replace(out, F.lit(sign), F.lit(f"\\u{ord(sign):04x}"))
+    return out
+
+
+def message_topic(mode: str, topic: str, prefix: str) -> Column:
+    return F.concat_ws(".", F.lit(prefix), "source_schema", "source_table") if mode == "per_table" else F.lit(topic)
+
+
+def message_key(event: DataFrame, mode: str) -> Column:
+    """The key values joined by colons, columns in name order; schema.table:position without keys or in mode none."""
+    names = sorted(event.schema["primary_keys"].dataType.names)
+    if mode == "none" or not names:
+        return F.concat(F.col("source_schema"), F.lit("."), F.col("source_table"), F.lit(":"), F.col("binlog_pos").cast("string"))
+    return F.array_join(F.array(*[F.coalesce(F.col(f"primary_keys.{n}").cast("string"), F.lit("<nil>")) for n in names]), ":")

@@ -18,9 +18,12 @@ def severity_rank(severity: Column) -> Column:
     return out
 
 
-def listed(events: DataFrame, task_id: str, before: int | None = None, after: int | None = None, least: str | None = None, limit: int = 100) -> DataFrame:
-    """The newest events of a task, by seq; limit 0 or less is 100, more than 500 is 500."""
+def listed(events: DataFrame, task_id: str, before: int | None = None, after: int | None = None, least: str | None = None, limit: int = 100, **equal: str) -> DataFrame:
+    """The newest events of a task, by seq; limit 0 or less is 100, more than 500 is 500. equal: values that columns must have
+    (execution_id, visibility, category, code, source_schema, source_table); an empty one asks for nothing."""
     rows = events.where(F.col("task_id") == task_id)
+    for column, value in equal.items():
+        rows = rows.where(F.col(column) == value) if value else rows
     if before is not None:
         rows = rows.where(F.col("seq") < before)
     if after is not None:
@@ -35,14 +38,17 @@ def executions(events: DataFrame) -> DataFrame:
 
 
 def kept(events: DataFrame, most_key: int, most_errors: int, oldest, protected: DataFrame) -> DataFrame:
-    """What retention keeps of each task: all of protected executions, the newest most_key KEY events that are not older than
-    `oldest`, and the newest most_errors errors that are no KEY events."""
-    guarded = events.join(protected.select("task_id", "execution_id").withColumn("guard", F.lit(True)), ["task_id", "execution_id"], "left")
-    key, error = F.col("visibility") == "KEY", F.col("severity") == "ERROR"
-    kind = F.when(F.col("guard"), "protected").when(key & (F.col("ts") >= oldest), "key").when(~key & error, "error")
-    newest = F.row_number().over(Window.partitionBy("task_id", "kind").orderBy(F.desc("seq")))
-    ranked = guarded.withColumn("kind", kind).where("kind is not null").withColumn("n", newest)
-    return ranked.where((F.col("kind") == "protected") | ((F.col("kind") == "key") & (F.col("n") <= most_key)) | ((F.col("kind") == "error") & (F.col("n") <= most_errors))).select(*events.columns)
+    """What retention keeps of each task: all of protected executions; of the others, without KEY events older than `oldest`, the
+    newest most_key KEY events and the newest most_errors errors. An error that is a KEY event counts in both.
+    Numbers of 0 or less are 2000 and 200."""
+    guarded = events.join(protected.select("task_id", "execution_id").distinct().withColumn("guard", F.lit(True)), ["task_id", "execution_id"], "left")
+    key, error, guard = F.col("visibility") == "KEY", F.col("severity") == "ERROR", F.coalesce("guard", F.lit(False))
+    left = ~guard & ~(key & (F.col("ts") < oldest))
+    newest = Window.partitionBy("task_id").orderBy(F.desc("seq"))
+    nth = lambda kind: F.sum(F.when(left & kind, 1).otherwise(0)).over(newest)
+    ranked = guarded.withColumns({"n_key": nth(key), "n_error": nth(error)})
+    few_keys, few_errors = F.col("n_key") <= (most_key if most_key > 0 else 2000), F.col("n_error") <= (most_errors if most_errors > 0 else 200)
+    return ranked.where(guard | left & (key & few_keys | error & few_errors)).select(*events.columns)
 
 
 def removed(events: DataFrame, keep: DataFrame) -> DataFrame:

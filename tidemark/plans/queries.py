@@ -73,10 +73,10 @@ def projection_writable(spark, d):
     return keyset.writable(table(spark, d, "customer"), {"c_mktsegment", "c_nationkey"})
 
 
-@query("SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM documents WHERE doc_id % 7 = 3 AND doc_id <= 500)")
+@query("SELECT doc_id, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')")
 def two_phase_payload(spark, d):
     docs = table(spark, d, "documents")
-    return keyset.payload_of_keys(docs.select("doc_id", "source", "n_chars"), docs.where("doc_id % 7 = 3 and doc_id <= 500"), "doc_id")
+    return keyset.payload_of_keys(docs.select("doc_id", "source", "n_chars"), docs.where("lang = 'en'"), "doc_id")
 
 
 # ---------------------------------------------------------------- chunk plans
@@ -186,9 +186,12 @@ def int_column_class(spark, d):
     return spark.sql(_COLUMNS).select("table_name", "column_name", catalog.is_int_type(F.col("data_type")).alias("is_int"))
 
 
-@query(f"SELECT table_name, column_name, data_type IN ('json', 'text', 'mediumtext', 'longtext', 'blob', 'tinyblob', 'mediumblob', 'longblob') AS is_wide FROM ({_COLUMNS})")
+_TYPES = values("data_type", "'text(100)'", "'LONGTEXT '", "'blob unsigned'", "'json zerofill unsigned'", "'text unsigned zerofill'", "'tinytext'", "'varchar(20)'", "'MediumBlob(9) x'", "'textual'")
+
+
+@query(f"SELECT data_type, trim(regexp_replace(regexp_replace(split_part(lower(trim(data_type)), '(', 1), ' unsigned$', ''), ' zerofill$', '')) IN ('json', 'text', 'mediumtext', 'longtext', 'blob', 'tinyblob', 'mediumblob', 'longblob') AS is_wide FROM (SELECT data_type FROM ({_COLUMNS}) UNION ALL {_TYPES})")
 def wide_column_class(spark, d):
-    return spark.sql(_COLUMNS).select("table_name", "column_name", catalog.is_wide_type(F.col("data_type")).alias("is_wide"))
+    return spark.sql(_COLUMNS).select("data_type").unionByName(spark.sql(_TYPES)).select("data_type", catalog.is_wide_type(F.col("data_type")).alias("is_wide"))
 
 
 _TASK_DBS = values("task_id, sources_text, targets_text, target_schema", "'t1', 'a,b', 'x, ', ''", "'t2', 'a', '', 'z'", "'t3', 'a', 'q', 'z'", "'t4', 'a,b,c', 'u', 'w'")
@@ -433,9 +436,11 @@ def replay_key_change(spark, d):
     return replay.operations(_log(spark, d).where("op = 'UPDATE' and old_key <> new_key")).select("key", "ord", F.col("sub").alias("sub"), "op")
 
 
-@query(f"SELECT old_key AS key, arg_max(value, event_id) FILTER (WHERE event_id % 3 <> 0) AS value, arg_max(event_type, event_id) FILTER (WHERE event_id % 2 = 0) AS event_type FROM {_LOG} WHERE op = 'UPDATE' GROUP BY old_key")
+@query(f"SELECT old_key AS key, arg_max_null(CASE WHEN event_id % 5 <> 1 THEN value END, event_id) FILTER (WHERE event_id % 3 <> 0) AS value, arg_max_null(event_type, event_id) FILTER (WHERE event_id % 2 = 0) AS event_type FROM {_LOG} WHERE op = 'UPDATE' GROUP BY old_key")
 def replay_partial_image(spark, d):
-    log = _log(spark, d).where("op = 'UPDATE'").select("event_id", F.col("old_key").alias("key"), F.when(F.col("event_id") % 3 != 0, F.col("value")).alias("value"), F.when(F.col("event_id") % 2 == 0, F.col("event_type")).alias("event_type"))
+    has = lambda c, name: F.when(c, F.array(F.lit(name))).otherwise(F.array().cast("array<string>"))
+    present = F.concat(has(F.col("event_id") % 3 != 0, "value"), has(F.col("event_id") % 2 == 0, "event_type"))
+    log = _log(spark, d).where("op = 'UPDATE'").select("event_id", F.col("old_key").alias("key"), F.when(F.col("event_id") % 5 != 1, F.col("value")).alias("value"), "event_type", present.alias("present"))
     return replay.latest_fields(log, "key", ["value", "event_type"])
 
 
@@ -499,31 +504,49 @@ def stream_replay(spark, d):
 
 # ---------------------------------------------------------------- sinks
 
-_MESSAGE = """'{"after_key":' || coalesce(cast(CASE WHEN op <> 'DELETE' THEN new_key END AS VARCHAR), 'null') || ',"before_key":' || coalesce(cast(CASE WHEN op <> 'INSERT' THEN old_key END AS VARCHAR), 'null') || ',"event_type":"' || op || '","pos":' || commit_pos || '}'"""
+_KEY = "CASE WHEN op = 'DELETE' THEN old_key ELSE new_key END"
+_MESSAGE = f"""'{{"task_id":"task_001","source_schema":"mydb","source_table":"users","event_type":"' || op || '","event_time":"' || strftime(TIMESTAMP '2024-01-01' + to_seconds(event_id), '%Y-%m-%dT%H:%M:%S') || 'Z","binlog_file":"' || file || '","binlog_pos":' || commit_pos || ',"primary_keys":{{"user_id":' || {_KEY} || '}}'
+|| CASE WHEN op <> 'INSERT' THEN ',"before":{{"event_type":"' || event_type || '","user_id":' || old_key || '}}' ELSE '' END || CASE WHEN op <> 'DELETE' THEN ',"after":{{"event_type":"' || event_type || '","user_id":' || new_key || '}}' ELSE '' END || ',"trace_id":"task_001:' || file || ':' || commit_pos || ':0"}}'"""
 
 
-def _messages(spark, d):
-    """topic, key, value: one JSON document an event, fields in name order, nulls written."""
-    log = _log(spark, d)
-    value = F.to_json(F.struct(F.when(F.col("op") != "DELETE", F.col("new_key")).alias("after_key"), F.when(F.col("op") != "INSERT", F.col("old_key")).alias("before_key"), F.col("op").alias("event_type"), F.col("commit_pos").alias("pos")), {"ignoreNullFields": "false"})
-    key = F.when(F.col("op") == "DELETE", F.col("old_key")).otherwise(F.col("new_key"))
-    return log.select("event_id", F.concat_ws(".", F.lit("cdc"), F.lit("mydb"), "event_type").alias("topic"), key.cast("string").alias("key"), value.alias("value"))
+def _wired(spark, d):
+    """Change events in the columns of changelog.wire."""
+    rows = changelog.normalised(_log(spark, d), "task_001", "mydb", "users")
+    image = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.col(f"{c}.user_id").alias("user_id"), F.col(f"{c}.event_type").alias("event_type"))).alias(c)
+    time = F.to_timestamp_ntz(F.lit("2024-01-01 00:00:00")) + F.make_dt_interval(secs=F.col("event_id"))
+    return rows.select("event_id", "task_id", "source_schema", "source_table", "event_type", time.alias("event_time"), "binlog_file", "binlog_pos", F.struct(F.col("key").alias("user_id")).alias("primary_keys"), image("before"), image("after"), "trace_id")
+
 
+def _messages(spark, d, mode="per_table", keys="primary"):
+    events = _wired(spark, d)
+    return events.select("event_id", changelog.message_topic(mode, "all_changes", "cdc").alias("topic"), changelog.message_key(events, keys).alias("key"), changelog.wire(events).alias("value"))
 
-@query(f"SELECT event_id, 'cdc.mydb.' || event_type AS topic, cast(CASE WHEN op = 'DELETE' THEN old_key ELSE new_key END AS VARCHAR) AS key, {_MESSAGE} AS value FROM {_LOG}")
+
+@query(f"SELECT event_id, 'cdc.mydb.users' AS topic, cast({_KEY} AS VARCHAR) AS key, {_MESSAGE} AS value FROM {_LOG}")
 def kafka_messages(spark, d):
     return _messages(spark, d)
 
 
-@query("SELECT 'cdc.mydb.' || event_type AS topic, count(*) AS n FROM events GROUP BY 1")
+@query(f"SELECT event_id, 'all_changes' AS topic, 'mydb.users:' || commit_pos AS key FROM {_LOG}")
+def kafka_messages_without_keys(spark, d):
+    return _messages(spark, d, "single", "none").select("event_id", "topic", "key")
+
+
+@query("SELECT event_id, user_id || ':' || event_type AS key FROM events")
+def kafka_composite_key(spark, d):
+    events = table(spark, d, "events").select("event_id", F.struct(F.col("event_type").alias("z_type"), F.col("user_id").alias("a_user")).alias("primary_keys"))
+    return events.select("event_id", changelog.message_key(events, "primary").alias("key"))
+
+
+@query("SELECT 'cdc.mydb.users' AS topic, count(*) AS n FROM events HAVING count(*) > 0")
 def kafka_topic_counts(spark, d):
     return _messages(spark, d).groupBy("topic").agg(F.count("*").alias("n"))
 
 
 @query(f"SELECT event_id, 'POST' AS method, 'application/json' AS content_type, 'task_001:' || file || ':' || commit_pos || ':0' AS idempotency_key, {_MESSAGE} AS body FROM {_LOG}")
 def webhook_requests(spark, d):
-    trace = changelog.normalised(_log(spark, d), "task_001", "mydb", "users").select("event_id", "trace_id")
-    return _messages(spark, d).join(trace, "event_id").select("event_id", F.lit("POST").alias("method"), F.lit("application/json").alias("content_type"), F.col("trace_id").alias("idempotency_key"), F.col("value").alias("body"))
+    events = _wired(spark, d)
+    return events.select("event_id", F.lit("POST").alias("method"), F.lit("application/json").alias("content_type"), F.col("trace_id").alias("idempotency_key"), changelog.wire(events).alias("body"))
 
 
 @query("SELECT l_orderkey // 1000 AS part, cast(ceil(count(*) / 50.0) AS BIGINT) AS statements FROM lineitem GROUP BY 1")
@@ -589,8 +612,8 @@ def event_min_severity(spark, d):
 
 _PROTECTED = values("task_id, execution_id", "'task_0', 'exec_0_1'", "'task_2', 'exec_2_3'")
 _OLDEST = 1704500000
-_KEPT = f"""SELECT seq, task_id FROM (SELECT *, row_number() OVER (PARTITION BY task_id, kind ORDER BY seq DESC) AS n FROM (SELECT e.*, CASE WHEN p.task_id IS NOT NULL THEN 'protected' WHEN visibility = 'KEY' AND ts >= {_OLDEST} THEN 'key' WHEN visibility <> 'KEY' AND severity = 'ERROR' THEN 'error' END AS kind
-FROM {_EVENTS} e LEFT JOIN ({_PROTECTED}) p ON p.task_id = e.task_id AND p.execution_id = e.execution_id) WHERE kind IS NOT NULL) WHERE kind = 'protected' OR (kind = 'key' AND n <= 60) OR (kind = 'error' AND n <= 25)"""
+_KEPT = f"""SELECT seq, task_id FROM (SELECT *, CASE WHEN ok AND visibility = 'KEY' THEN row_number() OVER (PARTITION BY task_id, ok, visibility ORDER BY seq DESC) END AS n_key, CASE WHEN ok AND severity = 'ERROR' THEN row_number() OVER (PARTITION BY task_id, ok, severity ORDER BY seq DESC) END AS n_error
+FROM (SELECT e.*, p.task_id IS NOT NULL AS guard, p.task_id IS NULL AND NOT (visibility = 'KEY' AND ts < {_OLDEST}) AS ok FROM {_EVENTS} e LEFT JOIN ({_PROTECTED}) p ON p.task_id = e.task_id AND p.execution_id = e.execution_id)) WHERE guard OR n_key <= 60 OR n_error <= 25"""
 
 
 def _kept(spark, d):
@@ -725,12 +748,18 @@ def index_restore_plan(spark, d):
 
 
 def _redact_sql(column: str) -> str:
-    for pattern, new in text.REDACTIONS:
-        column = f"regexp_replace({column}, '{pattern}', '{new.replace('$1', chr(92) + '1')}', 'g')"
+    steps = (
+        (r"(?i)(authorization)\s*[:=]\s*Bearer\s+\S+", r"\1=Bearer [REDACTED]"),
+        (r"(?i)(password|passwd|pwd|secret|token|dsn)\s*[:=]\s*[^\s,;''\"]+", r"\1=[REDACTED]"),
+        (r"(?i)Bearer\s+\S+", "Bearer [REDACTED]"),
+        (r"ENC~[A-Za-z0-9+/=_-]+", "ENC~[REDACTED]"),
+    )
+    for pattern, new in steps:
+        column = f"regexp_replace({column}, '{pattern}', '{new}', 'g')"
     return column
 
 
-_SAID = values("id, said", "1, 'password=abc123, token: xyz'", "2, 'Authorization: Bearer aa.bb.cc next'", "3, 'value ENC~QUJD+/= end'", "4, 'nothing here'")
+_SAID = values("id, said", "1, 'password=abc123, token: xyz'", "2, 'Authorization: Bearer aa.bb.cc next'", "3, 'value ENC~QUJD+/=_- end'", "4, 'nothing here'", "5, 'dsn=root:x@tcp(h:1)/db;pwd = a\"b'", "6, 'api_key=visible bearer  ab/cd~e'")
 
 
 @query(f"SELECT id, {_redact_sql('said')} AS said FROM ({_SAID}) UNION ALL SELECT doc_id, {_redact_sql('text')} FROM documents WHERE text IS NOT NULL")
@@ -739,13 +768,22 @@ def redact_text(spark, d):
     return said.unionByName(table(spark, d, "documents").where("text is not null").select(F.col("doc_id").alias("id"), text.redacted(F.col("text")).alias("said")))
 
 
-_OPTIONS = values("id, k, v", "1, 'Password', 'x'", "1, 'host', 'h'", "2, 'sasl_password', 'y'", "2, 'acks', '1'")
+_OPTIONS = values("id, k, v", "1, 'Password', 'x'", "1, 'host', 'h'", "2, 'connection_string', 'y'", "2, 'DSN', 'z'", "3, 'note', 'token: abc d'", "3, 'api_key', 'k'")
 
 
-@query(f"SELECT id, k, CASE WHEN lower(k) IN ('password', 'passwd', 'pwd', 'secret', 'token', 'api_key', 'authorization', 'sasl_password') THEN '******' ELSE v END AS v FROM ({_OPTIONS})")
+@query(f"SELECT id, k, CASE WHEN lower(k) IN ('password', 'passwd', 'pwd', 'secret', 'token', 'authorization', 'dsn', 'connection_string') THEN '[REDACTED]' ELSE {_redact_sql('v')} END AS v FROM ({_OPTIONS})")
 def mask_secrets(spark, d):
-    maps = spark.sql(_OPTIONS).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("options"))
-    return maps.select("id", F.explode(text.masked(F.col("options"))).alias("k", "v"))
+    maps = spark.sql(_OPTIONS).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("details"))
+    return maps.select("id", F.explode(text.masked(F.col("details"), maps.schema["details"].dataType)).alias("k", "v"))
+
+
+_SINK_OPTIONS = values("id, k, v", "1, 'sasl_password', 'x'", "1, 'acks', '1'", "2, 'sasl_password', ''")
+
+
+@query(f"SELECT id, k, CASE WHEN k = 'sasl_password' AND v <> '' THEN '******' ELSE v END AS v FROM ({_SINK_OPTIONS})")
+def mask_sink_options(spark, d):
+    maps = spark.sql(_SINK_OPTIONS).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("options"))
+    return maps.select("id", F.explode(text.shown_options(F.col("options"))).alias("k", "v"))
 
 
 @query("SELECT p_name, '`' || replace(p_name, '`', '``') || '`' AS quoted FROM part")
@@ -753,7 +791,7 @@ def quote_identifier(spark, d):
     return table(spark, d, "part").select("p_name", text.quoted(F.col("p_name")).alias("quoted"))
 
 
-_LONG_NAMES = values("name, attempt", "'shop', 1", "'a_very_long_schema_name_that_goes_on_and_on_and_on_until_it_is_too_long', 2")
+_LONG_NAMES = values("name, attempt", "'shop', 1", "'a_very_long_schema_name_that_goes_on_and_on_and_on_until_it_is_too_long', 2", "'short_in_letters_äöüäöüäöüäöüäöüäöüäöüäöü', 3")
 
 
 @query(f"SELECT name, CASE WHEN length(name) + 10 <= 64 THEN 'mts_fl_v2:' || name ELSE 'mts_fl_v2:' || substr(sha256(name), 1, 54) END AS lock_name FROM ({_LONG_NAMES})")
@@ -761,7 +799,7 @@ def lock_names(spark, d):
     return spark.sql(_LONG_NAMES).select("name", text.lock_name(F.col("name")).alias("lock_name"))
 
 
-@query(f"SELECT name, CASE WHEN length('__mts_staging_' || name || '_' || attempt) <= 64 THEN '__mts_staging_' || name || '_' || attempt ELSE '__mts_staging_' || substr(sha256(name), 1, 24) || '_' || attempt END AS staging FROM ({_LONG_NAMES})")
+@query(f"SELECT name, CASE WHEN strlen('__mts_staging_' || name || '_' || attempt) <= 64 THEN '__mts_staging_' || name || '_' || attempt ELSE '__mts_s_' || substr(sha256(name), 1, 16) || '_' || attempt END AS staging FROM ({_LONG_NAMES})")
 def staging_names(spark, d):
     return spark.sql(_LONG_NAMES).select("name", text.staging_name(F.col("name"), F.col("attempt")).alias("staging"))
 
@@ -780,12 +818,15 @@ def backoff_schedule(spark, d):
     return spark.range(8).select(i.alias("attempt"), text.backoff(i, 100.0, 2.0, 2000.0).alias("batch_ms"), text.backoff(i, 300.0, 3.0, 15000.0).alias("writer_ms"), text.backoff(i, 5000.0, 2.0, 60000.0).alias("read_ms"))
 
 
-_ERRORS = values("message", "'Error 1213: Deadlock found'", "'read: connection reset by peer'", "'duplicate entry'", "'Lock wait timeout exceeded'")
+_ERRORS = values("message", "'Error 1213: Deadlock found'", "'read: connection reset by peer'", "'duplicate entry'", "'Lock wait timeout exceeded'", "'Invalid connection'", "'unexpected EOF'", "'Lost connection to server'", "'too many connections'", "'driver: connection was bad'", "'try restarting transaction'", "'i/o timeout'", "'deadlock found'", "'Server shutdown in progress'", "'malformed: unexpected packet'")
 
 
-@query(f"SELECT message, regexp_matches(lower(message), 'deadlock|lock wait timeout|connection reset|broken pipe|bad connection|i/o timeout|too many connections') AS retry FROM ({_ERRORS})")
+@query(f"""SELECT message, regexp_matches(lower(message), 'invalid connection|bad connection|connection refused|broken pipe|connection reset|connection was bad|lock wait timeout|try restarting transaction|server shutdown|lost connection|unexpected eof|unexpected packet') AS read,
+regexp_matches(lower(message), 'deadlock|lock wait timeout|try restarting transaction') AS write, regexp_matches(lower(message), 'invalid connection|bad connection|unexpected packet|connection was bad|connection refused|broken pipe|connection reset') AS connection,
+regexp_matches(lower(message), 'invalid connection|bad connection|unexpected packet|connection was bad') AS cursor_, regexp_matches(message, 'Error 1205|Error 1213|Lock wait timeout|Deadlock found') AS lock_ FROM ({_ERRORS})""")
 def retryable_class(spark, d):
-    return spark.sql(_ERRORS).select("message", text.retryable(F.col("message")).alias("retry"))
+    m = F.col("message")
+    return spark.sql(_ERRORS).select("message", *[text.retryable(m, k).alias(k) for k in ("read", "write", "connection")], text.retryable(m, "cursor").alias("cursor_"), text.retryable_lock(m).alias("lock_"))
 
 
 @query("SELECT l, CASE WHEN h > 0 THEN h || 'h' || m || 'm' || s || 's' WHEN m > 0 THEN m || 'm' || s || 's' ELSE s || 's' END AS shown FROM (SELECT event_id AS l, event_id // 3600 AS h, event_id % 3600 // 60 AS m, event_id % 60 AS s FROM events)")
