@@ -1,5 +1,6 @@
 """Replication operators against step-by-step simulations, and every query against its oracle SQL."""
 
+import json
 import random
 
 import duckdb
@@ -7,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from tidemark.plans import more  # noqa: F401
+from tidemark.plans import more, outputs  # noqa: F401
 from tidemark.functions import text
-from tidemark.operators import batching, changelog, chunks, control, keyset, replay, tasks
+from tidemark.operators import audit, batching, changelog, chunks, control, ddl, keyset, metrics, replay, tasks
 from tidemark.plans.queries import ORACLES, QUERIES
 from tidemark.sources.published import PublishedTable
 from tidemark.sources.tables import json_lines
@@ -186,6 +187,77 @@ def test_numbering_without_one_task(spark):
     assert {r.k: r.rn for r in chunks.numbered(frame, "k", 8).collect()} == {k: i + 1 for i, k in enumerate(sorted(keys))}
 
 
+def test_numbering_of_text_composite_and_null_keys(spark):
+    r = random.Random(5)
+    rows = [(r.choice([None, "a", "\u00e9", "z", "\U00010000", "\uffff"]), r.choice([None, 1, 2, 3]), k) for k in range(300)]
+    frame = spark.createDataFrame(rows, "a string, b int, k int")
+    text = lambda a: (a is not None, (a or "").encode())
+    for names, place in ((["a", "b", "k"], lambda x: (text(x[0]), x[1] is not None, x[1] or 0, x[2])), (["k"], lambda x: x[2])):
+        want = {x[2]: i + 1 for i, x in enumerate(sorted(rows, key=place))}
+        for buckets in (1, 7, None):
+            assert {x.k: x.rn for x in chunks.numbered(frame, names, buckets).collect()} == want
+    hot = spark.createDataFrame([("a",)] * 90 + [("b",)] * 10, "a string")
+    assert sorted(x.rn for x in chunks.numbered(hot, "a", 8).collect()) == list(range(1, 101))
+    assert chunks.nth_row(spark.createDataFrame([], "a string"), "a", 2, 5).collect() == []
+
+
+def test_null_key_is_in_the_first_chunk(spark):
+    frame = spark.createDataFrame([(None,), (1,), (9,)], "k long")
+    assert sorted((r.k is None, r.k or 0, r.chunk_id) for r in chunks.assigned(frame, "k", chunks.int_range(frame, "k", 3)).collect()) == [(False, 1, 0), (False, 9, 2), (True, 0, 0)]
+
+
+def test_buffered_flushes_against_a_buffer(spark):
+    r = random.Random(8)
+    rows = [(g, k, t) for g in "ab" for k, t in enumerate(sorted(r.randrange(100) for _ in range(70)))]
+    want = []
+    for g in "ab":
+        held, written, tick = [], [], 0
+        for _, k, t in [x for x in rows if x[0] == g]:
+            if t // 10 != tick:
+                tick, held, written = t // 10, [], written + ([held] if held else [])
+            held.append(k)
+            if len(held) == 4:
+                held, written = [], [*written, held]
+        want += [(g, tuple(w)) for w in [*written, held] if w]
+    got = batching.buffered(spark.createDataFrame(rows, "g string, k long, t long"), "g", "k", "t", 4, 10).groupBy("g", "tick", "part").agg(F.sort_array(F.collect_list("k")).alias("ks"))
+    assert sorted((x.g, tuple(x.ks)) for x in got.collect()) == sorted(want)
+
+
+def test_audit_log(spark, tmp_path):
+    import datetime as dt
+
+    path = f"file://{tmp_path}/audit"
+    day = dt.datetime(2024, 5, 1, 10)
+    rows = [(day + dt.timedelta(hours=9 * k), f"t{k % 2}", "ERROR", "", None, "p", False, "", {}, 0) for k in range(8)]
+    audit.append(spark.createDataFrame([*rows, (None, "t9", "ERROR", "x", "s", "", True, "e", {"a": "b"}, 5)], audit.EVENT), path)
+    some = next((tmp_path / "audit" / "day=2024-05-01").glob("*.json"))
+    assert all(set(json.loads(x)) == {"timestamp", "task_id", "event_type", "position", "success"} for x in some.read_text().split("\n") if x)
+    (tmp_path / "audit" / "day=2024-05-01" / "more.json").write_text('{"timestamp": "2024-05-01T\n\n')
+    assert audit.find(spark, path).count() == 9
+    found = audit.find(spark, path, "t0", "ERROR", rows[2][0], rows[6][0], limit=2).collect()
+    assert [(x.timestamp, x.rows_affected, x.error_msg) for x in found] == [(rows[2][0], None, None), (rows[4][0], None, None)]
+    last = audit.find(spark, path, "t9").first()
+    assert last.timestamp is not None and (last.details, last.rows_affected, last.schema) == ({"a": "b"}, 5, "s")
+
+
+def test_metric_samples(spark):
+    frame = spark.createDataFrame([("c", "counter", 1, 2), ("c", "counter", 2, 3), ("g", "gauge", 9, 7), ("g", "gauge", 3, 8), ("h", "histogram", 1, 1), ("h", "histogram", 2, 40)], "name string, kind string, ord int, value int")
+    got = {r.line for r in metrics.exposition(metrics.samples(frame, ("0.5", "1", "10")), "x_").collect()}
+    assert got == {"x_c 5.0", "x_g 7.0", 'x_h_bucket{le="0.5"} 0.0', 'x_h_bucket{le="1"} 1.0', 'x_h_bucket{le="10"} 1.0', 'x_h_bucket{le="+Inf"} 2.0', "x_h_sum 41.0", "x_h_count 2.0"}
+    assert metrics.samples(frame.limit(0)).collect() == []
+
+
+def test_definitions_without_indexes(spark):
+    text_ = "CREATE TABLE `t` (\n  `id` bigint AUTO_INCREMENT,\n  `key` int,\n  PRIMARY KEY (`id`),\n  KEY `by_id` (`key`,`id`),\n  UNIQUE KEY `u` (`key`),\n  KEY `v` (`key`) \n) ENGINE=InnoDB"
+    kept = "CREATE TABLE `t` (\n  `id` bigint AUTO_INCREMENT,\n  `key` int,\n  PRIMARY KEY (`id`),\n  KEY `by_id` (`key`,`id`)"
+    frame = spark.createDataFrame([(text_,)], "d string")
+    names = lambda *n: F.array(*map(F.lit, n)).cast("array<string>")
+    got = frame.select(ddl.without_indexes(F.col("d")).alias("a"), ddl.without_indexes(F.col("d"), names("v")).alias("b"), ddl.without_indexes(F.col("d"), names()).alias("c")).first()
+    assert got.a == kept + "\n) ENGINE=InnoDB"
+    assert got.b == kept + ",\n  UNIQUE KEY `u` (`key`)\n) ENGINE=InnoDB"
+    assert got.c.replace("`v` (`key`)\n", "`v` (`key`) \n") == text_
+
+
 def test_folds(spark):
     r = random.Random(4)
     rows = [(g, k, r.randint(1, 60)) for g in "ab" for k in range(90)]

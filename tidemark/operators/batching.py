@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from ..session import ship_package
 
@@ -49,3 +50,11 @@ def writer_statements(df: DataFrame, group: str, order: str, size: str, most_row
 def windows(df: DataFrame, group: str, order: str, seconds: str, length: int) -> DataFrame:
     """A window begins with its first row and takes all within length seconds of it."""
     return _fold(df, group, order, seconds, lambda rows, held, first, s: s >= first + length)
+
+
+def buffered(rows: DataFrame, group: str, order: str, seconds: str, most: int, every: int) -> DataFrame:
+    """rows with the flush (tick, part) of a buffer that is written once it holds `most` rows and whenever a timer ticks, every
+    `every` seconds: nothing outlives a tick, so a tick's rows are numbered on their own."""
+    tick = F.floor(F.col(seconds) / every).cast("long")
+    n = F.row_number().over(Window.partitionBy(group, "tick").orderBy(order))
+    return rows.withColumn("tick", tick).withColumn("part", F.floor((n - 1) / most).cast("long"))

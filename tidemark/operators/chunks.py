@@ -2,21 +2,50 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def numbered(df: DataFrame, key: str, buckets: int = 64) -> DataFrame:
-    """df with rn, the place of each row in key order from 1, without one task that sees every row: key ranges are
-    numbered on their own and begin where the ranges before them end."""
-    cuts = df.agg(F.percentile_approx(key, [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] or []
-    bounds = sorted(set(cuts))
-    bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < F.col(key))) if bounds else F.lit(0)
-    dealt = df.withColumn("__bucket", bucket)
+#: Steps of a search: arrays of up to 2^20 - 1 values.
+_STEPS = [1 << k for k in range(19, -1, -1)]
+#: Bytes of a key range that one task sorts, and how many values of a sample are taken for each range.
+RANGE_BYTES, SAMPLED = 128 << 20, 100
+
+
+def count_below(bounds: Column, value: Column) -> Column:
+    """How many values of the sorted array are less than value, by halving; 0 for null."""
+    at = lambda k: F.get(bounds, k)
+    return F.aggregate(F.array(*map(F.lit, _STEPS)), F.lit(0), lambda pos, step: F.when(at(pos + step - 1) < value, pos + step).otherwise(pos))
+
+
+def _names(key: str | list[str]) -> list[str]:
+    return [key] if isinstance(key, str) else list(key)
+
+
+def _range_bounds(df: DataFrame, names: list[str], buckets: int) -> Column | None:
+    """At most buckets - 1 tuples that cut the table into ranges of about equal size, from a sample of bounded size. Which ones
+    they are only matters for speed."""
+    sample = df.select(*names).dropna().orderBy(F.rand(7)).limit(SAMPLED * buckets)
+    row = sample.agg(F.array_sort(F.collect_set(F.struct(*names))).alias("x")).first()
+    picked = row["x"][:: max(1, -(-len(row["x"]) // buckets))][1:]
+    types = {f.name: f.dataType for f in df.select(*names).schema.fields}
+    tuples = [F.struct(*[F.lit(v[n]).cast(types[n]).alias(n) for n in names]) for v in picked]
+    return F.array(*tuples) if tuples else None
+
+
+def numbered(df: DataFrame, key: str | list[str], buckets: int | None = None) -> DataFrame:
+    """df with rn, the place of each row in key order from 1 (nulls first; rows of one key in any order), without one task that
+    sees every row: key ranges, one for every 128 MB, are numbered on their own and begin where the ranges before them end."""
+    names = _names(key)
+    if buckets is None:
+        size = df.select(*names)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+        buckets = min(max(int(str(size)) // RANGE_BYTES, 8), 4096)
+    bounds = _range_bounds(df, names, buckets)
+    dealt = df.withColumn("__bucket", count_below(bounds, F.struct(*names)) if bounds is not None else F.lit(0))
     sizes = dealt.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
     base = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
-    own = Window.partitionBy("__bucket").orderBy(key)
+    own = Window.partitionBy("__bucket").orderBy(*names)
     return dealt.withColumn("rn", F.row_number().over(own)).join(F.broadcast(base), "__bucket").withColumn("rn", F.col("rn") + F.col("__base")).drop("__bucket", "__base")
 
 
@@ -42,9 +71,12 @@ def equal_split(df: DataFrame, key: str, n: int) -> DataFrame:
     return plan.select(F.col("i").cast("long").alias("chunk_id"), F.when(F.col("i") > 0, F.col("lo") + F.col("i") * F.col("step")).cast("long").alias("start_key"), F.when(F.col("i") < n - 1, F.col("lo") + (F.col("i") + 1) * F.col("step")).cast("long").alias("end_key"))
 
 
-def nth_row(df: DataFrame, key: str, step: int, most: int) -> DataFrame:
-    """Every step-th key in order, at most `most` of them."""
-    return numbered(df.select(key), key).where((F.col("rn") % step == 0) & (F.col("rn") <= step * most)).select((F.col("rn") / step).cast("long").alias("boundary"), F.col(key).alias("key"))
+def nth_row(df: DataFrame, key: str | list[str], step: int, most: int) -> DataFrame:
+    """Every step-th key in order, at most `most` of them: as column key, or as its columns if it has several."""
+    names = _names(key)
+    marks = numbered(df.select(*names), names).where((F.col("rn") % step == 0) & (F.col("rn") <= step * most))
+    shown = [F.col(names[0]).alias("key")] if len(names) == 1 else names
+    return marks.select((F.col("rn") / step).cast("long").alias("boundary"), *shown)
 
 
 def legacy_steps(df: DataFrame, key: str, step: int, n: int) -> DataFrame:
@@ -61,9 +93,13 @@ def strategy(df: DataFrame, key: str, estimated_rows: int) -> DataFrame:
 
 
 def assigned(df: DataFrame, key: str, plan: DataFrame) -> DataFrame:
-    """df with the chunk that its key falls into; the plan is a few rows."""
-    inside = (F.col("start_key").isNull() | (F.col(key) > F.col("start_key"))) & (F.col("end_key").isNull() | (F.col(key) <= F.col("end_key")))
-    return df.join(F.broadcast(plan), inside)
+    """df with the chunk that its key falls into (a null key: the first), found by halving in the plan, which is one row of as
+    many intervals as chunks were asked for: they follow each other without gaps, and the last has no end."""
+    last = F.col("end_key").isNull()
+    one = plan.agg(F.array_sort(F.collect_list(F.struct(last.alias("last"), "end_key", "chunk_id", "start_key"))).alias("__plan"))
+    ends = F.transform(F.filter("__plan", lambda p: ~p["last"]), lambda p: p["end_key"])
+    found = df.join(F.broadcast(one)).withColumn("__chunk", F.get("__plan", count_below(ends, F.col(key)))).where("__chunk is not null")
+    return found.select(*df.columns, "__chunk.chunk_id", "__chunk.start_key", "__chunk.end_key")
 
 
 def fair_order(plan: DataFrame) -> DataFrame:
