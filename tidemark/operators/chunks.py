@@ -6,31 +6,32 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-#: Steps of a search: arrays of up to 2^20 - 1 values.
-_STEPS = [1 << k for k in range(19, -1, -1)]
+#: Bits of a search: arrays of up to 2^20 - 1 values.
+SEARCH_BITS = 20
 #: Bytes of a key range that one task sorts, and how many values of a sample are taken for each range.
 RANGE_BYTES, SAMPLED = 128 << 20, 100
 
 
-def count_below(bounds: Column, value: Column) -> Column:
-    """How many values of the sorted array are less than value, by halving; 0 for null."""
+def count_below(bounds: Column, value: Column, bits: int = SEARCH_BITS) -> Column:
+    """How many values of the sorted array, of less than 2^bits values, are less than value, by halving; 0 for null."""
     at = lambda k: F.get(bounds, k)
-    return F.aggregate(F.array(*map(F.lit, _STEPS)), F.lit(0), lambda pos, step: F.when(at(pos + step - 1) < value, pos + step).otherwise(pos))
+    steps = [F.lit(1 << k) for k in range(bits - 1, -1, -1)]
+    return F.aggregate(F.array(*steps), F.lit(0), lambda pos, step: F.when(at(pos + step - 1) < value, pos + step).otherwise(pos))
 
 
 def _names(key: str | list[str]) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def _range_bounds(df: DataFrame, names: list[str], buckets: int) -> Column | None:
-    """At most buckets - 1 tuples that cut the table into ranges of about equal size, from a sample of bounded size. Which ones
-    they are only matters for speed."""
+def _range_bounds(df: DataFrame, names: list[str], buckets: int) -> tuple[Column, int] | None:
+    """At most buckets - 1 tuples, and the bits of their number, that cut the table into ranges of about equal size, from a sample
+    of bounded size. Which ones they are only matters for speed."""
     sample = df.select(*names).dropna().orderBy(F.rand(7)).limit(SAMPLED * buckets)
     row = sample.agg(F.array_sort(F.collect_set(F.struct(*names))).alias("x")).first()
     picked = row["x"][:: max(1, -(-len(row["x"]) // buckets))][1:]
     types = {f.name: f.dataType for f in df.select(*names).schema.fields}
     tuples = [F.struct(*[F.lit(v[n]).cast(types[n]).alias(n) for n in names]) for v in picked]
-    return F.array(*tuples) if tuples else None
+    return (F.array(*tuples), len(tuples).bit_length()) if tuples else None
 
 
 def numbered(df: DataFrame, key: str | list[str], buckets: int | None = None) -> DataFrame:
@@ -41,7 +42,7 @@ def numbered(df: DataFrame, key: str | list[str], buckets: int | None = None) ->
         size = df.select(*names)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
         buckets = min(max(int(str(size)) // RANGE_BYTES, 8), 4096)
     bounds = _range_bounds(df, names, buckets)
-    dealt = df.withColumn("__bucket", count_below(bounds, F.struct(*names)) if bounds is not None else F.lit(0))
+    dealt = df.withColumn("__bucket", count_below(bounds[0], F.struct(*names), bounds[1]) if bounds is not None else F.lit(0))
     sizes = dealt.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # at most `buckets` rows
     base = sizes.select("__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
