@@ -306,6 +306,23 @@ def test_secret_spans():
         assert [s for s in scan.spans(t) if s[1] < 3] == brute_spans(t)
 
 
+def test_added_secret_kinds():
+    scan, r = secrets.Scanner(secrets.RULES), random.Random(2)
+    parts = [b"ghp_", b"gho_", b"github_pat_", b"glpat-", b"xoxb-", b"AIza", b"sk_live_", b"rk_test", b"npm_", b"a1B2c3D4e5F6", b"0123456789abcdef", b"_", b"-----BEGIN ", b"RSA ", b"PRIVATE KEY", b"-----", b"-----END ", b"\n", b"MIIE+/=", b" ", b"-"]
+    patterns = [re.compile(rule.pattern.encode()) for rule in secrets.RULES]
+    for _ in range(4000):
+        t = b"".join(r.choice(parts) for _ in range(r.randint(1, 16)))
+        want = sorted((m.start(), k, m.end()) for k, p in enumerate(patterns) for m in p.finditer(t) if secrets.RULES[k].keeps(m[0]))
+        assert scan.spans(t) == want
+
+
+def test_redaction_of_keys_and_overlaps(spark):
+    key = "-----BEGIN RSA PRIVATE KEY-----\nMIIEow+/=\nabc\n-----END RSA PRIVATE KEY-----"
+    cases = {1: (f"x {key} y", "x [SECRET] y"), 2: ("-----BEGIN PRIVATE KEY-----\nMIIE cut", "[SECRET] cut"), 3: ("a token=xoxb-123456789012-abcdefghijkl b", "a [SECRET] b"), 4: ("sk_live_" + "a1" * 12 + " npm_short", "[SECRET] npm_short")}
+    docs = spark.createDataFrame([(k, text) for k, (text, _) in cases.items()], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in secrets.redact(docs).collect()} == {k: want for k, (_, want) in cases.items()}
+
+
 def test_secrets(docs, none):
     got = {ident(r.doc_id): r.spans for r in secrets.scan_secrets(docs).collect()}
     assert [s.kind for s in got[47]] == ["assign", "access", "hex"] and got[43] == [] and got[2**40] == []

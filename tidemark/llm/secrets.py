@@ -200,12 +200,13 @@ def compile_automaton(trees: list, unanchored: bool) -> Automaton:
     letter = np.array([letter_of.setdefault(tuple(b in s for s in sets), len(letter_of)) for b in range(256)])
     sample = [int(np.flatnonzero(letter == k)[0]) for k in range(len(letter_of))]
     first = nfa.closure([start])
+    reach = [[nfa.closure([t for values, t in edges if byte in values]) for byte in sample] for edges in nfa.on]
+    always = first if unanchored else frozenset()
     number, todo, table = {first: 0}, [first], []
     while todo:  # in order of numbering
-        now, row = todo.pop(0), []
-        for byte in sample:
-            to = {t for s in now for values, t in nfa.on[s] if byte in values}
-            then = nfa.closure(to | ({start} if unanchored else set()))
+        now, row = [reach[s] for s in todo.pop(0) if nfa.on[s]], []
+        for k in range(len(sample)):
+            then = always.union(*[to[k] for to in now])
             if then not in number:
                 number[then] = len(number)
                 todo.append(then)
@@ -254,10 +255,14 @@ BASE = (
     Rule("access", "AKIA[A-Z0-9]+", 20),
     Rule("hex", "[0-9a-f]{24,}"),
 )
-#: What the method adds: published token formats.
+#: What the method adds: published token formats and keys in PEM. Formats with a tail of their own each would multiply the
+#: states of the combined automaton (any tail may run while any other does), so they share one. A key is its header with the
+#: lines right after it, which may be cut off, and its footer.
 MORE = (
     Rule("github", "gh[oprsu]_[A-Za-z0-9]+", 40),
-    Rule("pem", "-----BEGIN ([A-Z]+ )?PRIVATE KEY-----"),
+    Rule("vendor", "(github_pat_|glpat-|xox[abeoprs]-|AIza|[rs]k_(live|test)_|npm_)[A-Za-z0-9_-]+", 24),
+    Rule("pem", "-----BEGIN ([A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\\x0a\\x0d]*"),
+    Rule("pem_end", "-----END ([A-Z]+ )?PRIVATE KEY-----"),
 )
 RULES = BASE + MORE
 
@@ -359,7 +364,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with every secret in text replaced by mark (overlapping spans by one); null stays null."""
+    """docs with every secret in text replaced by mark (spans that overlap or touch by one); null stays null."""
     held = docs.sparkSession.sparkContext.broadcast(Scanner(rules))
     sign, names = mark.encode(), docs.columns
 
@@ -370,7 +375,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", rules: tuple[Rule, ...] = RU
                 parts, at = [], 0
                 for a, _, b in spans:
                     if b > at:
-                        parts += [text[at:a], sign] if a >= at else []
+                        parts += [text[at:a], sign] if a > at or not parts else []
                         at = b
                 out.append(b"".join([*parts, text[at:]]))
             new = pa.array(out, pa.binary()).cast(pa.string())
