@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import more, outputs, service  # noqa: F401  (add their queries)
+from .plans import coordination, more, outputs, service  # noqa: F401  (add their queries)
 from .plans.queries import ORACLES, QUERIES, flagship
 
 __all__ = ["flagship", "oracle_sql", "queries"]
