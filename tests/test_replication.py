@@ -355,3 +355,18 @@ def test_query_matches_oracle(spark, duck, name):
 def test_entry(spark):
     assert entry.entry(spark).count() == 1
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_shared_folder_is_the_named_one():
+    from types import SimpleNamespace
+
+    from tidemark.session import shared_folder
+
+    def session(master, named):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: named), sparkContext=SimpleNamespace(master=master))
+
+    assert shared_folder(session("spark://h:7077", "/shared/"), "x").startswith("/shared/tidemark-x/")
+    assert shared_folder(session("local[8]", None), "x").startswith("file:///")
+    for master in ("spark://h:7077", "local-cluster[2,1,1024]", "yarn"):
+        with pytest.raises(ValueError):
+            shared_folder(session(master, None), "x")

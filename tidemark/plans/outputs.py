@@ -8,9 +8,9 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..operators import audit, batching, chunks, ddl, metrics
+from ..session import shared_folder
 from ..sources.tables import table
 from .queries import query, values
-from .service import _folder
 
 # ---------------------------------------------------------------- definitions
 
@@ -67,7 +67,7 @@ def audit_appended(spark, d):
         F.col("event_id").cast("string").alias("position"), (kind != "ERROR").alias("success"), F.when(kind == "ERROR", F.concat(F.lit("e"), "event_id")).otherwise("").alias("error_msg"),
         F.create_map(F.lit("k"), F.lit("v")).alias("details"), (F.col("event_id") % 2).alias("rows_affected"),
     )
-    path = _folder(spark, "audit")
+    path = shared_folder(spark, "audit")
     audit.append(rows.where("success"), path)
     audit.append(rows.where("not success"), path)
     found = audit.find(spark, path, "task_1", "ERROR", datetime(2024, 3, 2, 8, 30), datetime(2024, 3, 5, 17))

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import text
 from ..operators import checks, control
+from ..session import shared_folder
 from ..sources.published import PublishedTable
 from ..sources.tables import json_lines, table
 from .queries import _EVENTS, _INDEXES, _events, _fold_sql, query, values
 
 
-def _folder(spark, kind: str) -> str:
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    return f"{shared.rstrip('/')}/tidemark-{kind}/{uuid.uuid4().hex}"
-
-
 def _strings(names) -> str:
     return ", ".join(f"'{n}'" for n in names)
 
@@ -171,7 +164,7 @@ def table_list_resolved(spark, d):
 @query(f"SELECT seq, task_id, severity, code FROM {_EVENTS}")
 def event_log_roundtrip(spark, d):
     """Events appended as JSON lines to a log folder, and read back as a log is."""
-    path = _folder(spark, "log")
+    path = shared_folder(spark, "log")
     rows = _events(spark, d).select("seq", "task_id", "severity", "code")
     rows.write.json(path)
     return json_lines(spark, path, "seq long, task_id string, severity string, code string")
@@ -307,7 +300,7 @@ def insert_statements(spark, d):
 def staged_publish(spark, d):
     """A table loaded to staging and published twice; readers see the newest whole version."""
     rows = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    target = PublishedTable(spark, _folder(spark, "published"))
+    target = PublishedTable(spark, shared_folder(spark, "published"))
     target.publish(rows.withColumn("o_totalprice", F.lit(0.0)))
     target.publish(rows)
     return target.read()

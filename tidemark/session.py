@@ -1,9 +1,11 @@
-"""Session helpers: shipping this package to the Python workers of a cluster."""
+"""Session helpers: shipping this package to the Python workers of a cluster, folders that its machines share."""
 
 from __future__ import annotations
 
 import io
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -30,3 +32,14 @@ def ship_package(spark: SparkSession) -> None:
     where.write_bytes(buffer.getvalue())
     spark.sparkContext.addPyFile(str(where))
     spark.sparkContext._tidemark_shipped = True
+
+
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new folder's path below the one that the cluster names in spark.checkpoint.dir. Only where that is unset and Spark runs
+    on one machine, it is below a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        named = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{named.rstrip('/')}/tidemark-{kind}/{uuid.uuid4().hex}"

@@ -9,13 +9,11 @@ replayed from an earlier point changes nothing.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changelog, replay
+from ..session import shared_folder
 
 LOG = "event_id long, txn long, txn_rows long, file string, commit_pos long, op string, old_key long, new_key long, value double"
 ROWS = "key long, value double"
@@ -118,8 +116,7 @@ def with_txn_sizes(log: DataFrame) -> DataFrame:
 
 def replayed(spark: SparkSession, log: DataFrame) -> DataFrame:
     """The table that a change log leaves, applied as a stream of files in a folder shared by the cluster."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    path = f"{shared.rstrip('/')}/tidemark-stream/{uuid.uuid4().hex}"
+    path = shared_folder(spark, "stream")
     with_txn_sizes(log).write.parquet(f"{path}/log")
     table = AppliedTable(spark, f"{path}/table")
     run_available(spark.readStream.schema(LOG).parquet(f"{path}/log"), table, f"{path}/checkpoint")
