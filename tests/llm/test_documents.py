@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from tokenizers import Tokenizer
@@ -127,6 +128,42 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.remove_repeated_bytes(none).count() == 0
 
 
+def test_suffix_dedup_sends_no_more_when_sketches_are_full(spark, monkeypatch):
+    """What is sent for exact comparison follows the text and the borders of copies, as on tables that fill a bounded sketch."""
+    from tidemark.llm import sketch
+
+    ship_package(spark)
+    r = random.Random(17)
+    said = lambda n: "".join(r.choice("abcdefghij ") for _ in range(n))
+    passages = [said(n) for n in (400, 431, 900)]
+    texts = [said(r.choice((300, 3000, 9000))) for _ in range(40)]
+    for p in passages * 2 + [passages[2][5:460], passages[1][:-31]]:
+        k, at = r.randrange(40), r.choice((0, 50, 10**6))
+        texts[k] = texts[k][:at] + p + texts[k][at:]
+    texts += [texts[3], texts[3][:700], said(63) + texts[4][-464:], texts[5][100:600] + texts[5][101:700]]
+    where = {}
+    for i, s in enumerate(texts):
+        for p in range(len(s) - 399):
+            where.setdefault(s[p : p + 400], []).append((i, p))
+    gone = [np.zeros(len(s), bool) for s in texts]
+    for places in where.values():
+        for i, p in places if len(places) > 1 else []:
+            gone[i][p : p + 400] = True
+    sent, real = [], suffix_dedup.repeated
+
+    def spy(docs, entries, *more):
+        count = lambda batches: (pa.RecordBatch.from_pydict({"n": [len(x[0])]}) for x in entries(batches))
+        sent.append(docs.mapInArrow(count, "n long").groupBy().sum().first()[0] or 0)
+        return real(docs, entries, *more)
+
+    monkeypatch.setattr(sketch, "MOST_BITS", 12)
+    monkeypatch.setattr(suffix_dedup, "repeated", spy)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_removed, x.n_spans, bytes(x.kept).decode()) for x in suffix_dedup.remove_repeated_bytes(docs).collect()}
+    assert got == {i: (int(g.sum()), int((g & np.append(True, ~g[:-1])).sum()), "".join(c for c, x in zip(s, g, strict=True) if not x)) for i, (s, g) in enumerate(zip(texts, gone, strict=True))}
+    assert sum(sent) < sum(map(len, texts)) / 10
+
+
 def test_rows_that_share_an_id(spark):
     ship_package(spark)
     r = random.Random(9)
